@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stored, bitmap, with_maybe, without_ids
+from .shared import Stored, bitmap, maybe_in, with_maybe, without_ids
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", prefix
     shape = {"size": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"), "head": F.xxhash64(head)}
     keys = Stored(docs.select(*[c.alias(n) for n, c in shape.items()]), "shapes")
     lengths = keys.df.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1")
-    heads = keys.df.join(lengths.select("size"), "size", "left_semi").groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1")
+    heads = maybe_in(keys.df, bitmap(lengths, "size"), "size").groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[c.alias(n) for n, c in shape.items()])
     rows = with_maybe(rows, bitmap(heads, "size", "head"), "size", "head", name="hit").select("doc_id", "text", "hit")
     id_type = rows.schema["doc_id"].dataType.simpleString()

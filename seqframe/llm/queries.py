@@ -7,25 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
+from .cotrain import score_quality
 from .decontaminate import digest_items, mark_contamination
 from .exact_dedup import exact_dedup
+from .langid import fit_dictionaries, held_out, identify_language
+from .lm_scoring import cross_entropy_difference
 from .minhash import near_duplicates
+from .mixing import ORACLE_SQL as MIXING_SQL
+from .mixing import mix_sources
 from .substring import substring_dedup
+from .token_counts import token_counts
+from .warc_zip import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of good quality; background: all documents."""
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_items(mark_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))).drop("items", "spans")
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_table(spark, sf_dir, "documents"), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), target_entropy=corpus_pipeline.TARGET_ENTROPY, seed=corpus_pipeline.SEED)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -34,11 +61,29 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    test = docs.select("doc_id", "text", held_out().alias("held_out"))
+    found = identify_language(test, fit_dictionaries(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_decontaminate": op2_decontaminate,
+    "op3_cotraining": op3_cotraining,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_language": op9_language,
+    "op10_warc_zip": op10_warc_zip,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -46,4 +91,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT doc_id, text_sha256, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+    "op6_mixing": MIXING_SQL.format(target=corpus_pipeline.TARGET_ENTROPY, seed=corpus_pipeline.SEED),
+    "op10_warc_zip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+        FROM f""",
 }
