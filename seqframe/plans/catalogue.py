@@ -1,6 +1,8 @@
-"""Queries of the engine's operators over the driver's tables, each beside equivalent DuckDB SQL."""
+"""Queries of the engine's operators over the driver's tables, each beside equivalent DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import dataflow_queries, sequence_queries  # noqa: F401  they register their queries
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
