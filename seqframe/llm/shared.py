@@ -1,65 +1,14 @@
-"""Tables in the cluster's shared folder, bounded filters and connected components."""
+"""Filters of bounded size for the text operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..operators.storage import Stored, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="seqframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/seqframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _registered:
-        atexit.register(_remove_all)
-    _registered.append((spark, path))
-    return path
-
-
-_registered: list[tuple[SparkSession, str]] = []
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove_all() -> None:
-    for spark, path in _registered:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; the folder belongs to the cluster
-            return
-
-
-class Stored:
-    """A table written once to the shared folder: later reads don't recompute it, and it outlives any executor."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """For tables that nothing reads any more."""
-        remove(self.spark, self.path)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return Stored(df, name).df
+__all__ = ["Stored", "bitmap", "components", "maybe_in", "new_path", "shared_dir", "with_maybe", "without_ids"]
 
 
 def _spot(keys: tuple[str, ...], bits: int):
@@ -98,31 +47,3 @@ def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> Dat
     flags = bitmap(dropped, key)
     unsure = maybe_in(docs, flags, key).join(dropped.select(key).distinct(), key, "left_anti")
     return maybe_in(docs, flags, key, keep=False).unionByName(unsure.select(*docs.columns))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: (node, root), root the smallest node reachable; nodes without edges are absent.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a partial aggregate
-    and a join, its edges are written to the shared folder, and no node's neighbours are gathered in one place.
-    """
-    spark = edges.sparkSession
-    now = Stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
-    sign = None
-    while True:
-        both = now.df.union(now.df.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        one = Stored(large, "large")
-        least = one.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = one.df.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct()
-        two = Stored(small, "small")
-        row = two.df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
-        now.drop()
-        one.drop()
-        now, before, sign = two, sign, (row["n"], row["h"])
-        if sign == before or not row["n"]:
-            stars = spark.read.schema("u long, v long").parquet(now.path).select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
-
-
