@@ -71,7 +71,7 @@ def cluster(df: DataFrame, strategy: ClusteringStrategy, key: str = "id", seq: s
     pairs = Stored(pairs.select("q_id", "k_id", "penalty", "mismatches", "deletions", "insertions"), "pairs").df
     roots = components(pairs.select(F.col("q_id").alias("a"), F.col("k_id").alias("b")))
     members = roots.withColumnRenamed("node", "id").join(base, "id").select("root", "id", "seq", "weight")
-    edges = pairs.join(roots.withColumnRenamed("node", "q_id"), "q_id").select("root", "q_id", "k_id", "penalty", "mismatches", "deletions", "insertions")
+    edges = pairs.join(roots.withColumnRenamed("node", "q_id"), "q_id").select(F.col("root").alias("r"), "q_id", "k_id", "penalty", "mismatches", "deletions", "insertions")
 
     def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list] = {}
@@ -80,7 +80,7 @@ def cluster(df: DataFrame, strategy: ClusteringStrategy, key: str = "id", seq: s
         out = pd.DataFrame(greedy(nodes.drop(columns="root").to_dict("records"), near, strategy), columns=["id", "root_id", "parent_id", "depth"])
         return out.astype({"parent_id": "Int64", "depth": "int32"})
 
-    grouped = members.groupBy("root").cogroup(edges.groupBy("root")).applyInPandas(run, SCHEMA)
+    grouped = members.groupBy("root").cogroup(edges.groupBy("r")).applyInPandas(run, SCHEMA)
     alone = base.join(roots.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("root_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"))
     return grouped.unionByName(alone)
 
