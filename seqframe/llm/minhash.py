@@ -159,7 +159,7 @@ def _confirm(batches, percent: int, threshold: int):
     yield batch_of(list(done()))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = 32, text: str = "text", key: str = "doc_id", block_rows: int = 512, block_items: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = 96, text: str = "text", key: str = "doc_id", block_rows: int = 512, block_items: int = 1 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are runs of other bytes than ASCII white space, A-Z lower-cased; a text of fewer than `shingle`
