@@ -90,6 +90,26 @@ class AffineScoring:
 Scoring = LinearScoring | AffineScoring
 
 
+@dataclass(frozen=True)
+class Ends:
+    """Where an alignment may begin and end, beside its mode.
+
+    added1, added2 (modes added_right, added_left): letters at the end of each sequence that need not be aligned, if all of
+    the other is.  bound1, bound2 (mode left): whether gaps before the first letters of seq1 and seq2 cost.
+    stop_penalty (mode left): rows are tried while their best score, less the reward of as many matches as rows went before,
+    isn't below it.
+    """
+
+    added1: int = 0
+    added2: int = 0
+    bound1: bool = True
+    bound2: bool = True
+    stop_penalty: int | None = None
+
+
+ALL = Ends()
+
+
 @dataclass
 class Alignment:
     """seq1, its mutations to seq2 (absolute positions), both ranges and the score."""
@@ -243,15 +263,17 @@ def _codes(pairs: list[tuple[str, str]], alphabet: str) -> tuple[np.ndarray, np.
     return a, b, n1, n2
 
 
-def align(pairs: list[tuple[str, str]], scoring: Scoring, mode: str = "global", band: int | None = None, order: tuple[int, ...] | None = None) -> list[Alignment | None]:
+def align(pairs: list[tuple[str, str]], scoring: Scoring, mode: str = "global", band: int | None = None, order: tuple[int, ...] | None = None, ends: Ends = ALL) -> list[Alignment | None]:
     """Alignments of all pairs, in order.
 
     mode: global, local (null without a positive cell; the first strictly best cell ends it), left (both sequences
-    begin the alignment, which ends at the best cell), right (both end it, and it begins at the best cell).
+    begin the alignment, which ends at the best cell), right (both end it, and it begins at the best cell), added_right
+    (both begin it, and it ends with the end of one of them, in the added letters of the other; the end of seq2 wins ties),
+    added_left (the mirror image).
     band: at most so many indels beyond the difference in length.  order: moves by preference among equal scores.
     """
-    if mode == "right":
-        back = align([(x[::-1], y[::-1]) for x, y in pairs], scoring, "left", band, order)
+    if mode in ("right", "added_left"):
+        back = align([(x[::-1], y[::-1]) for x, y in pairs], scoring, {"right": "left", "added_left": "added_right"}[mode], band, order, ends)
         return [_mirrored(x, y, r) for (x, y), r in zip(pairs, back, strict=True)]
     out: list[Alignment | None] = [None] * len(pairs)
     by_size = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
@@ -265,7 +287,7 @@ def align(pairs: list[tuple[str, str]], scoring: Scoring, mode: str = "global",
                 break
             to += 1
         chosen = by_size[at:to]
-        for i, r in zip(chosen, _batch([pairs[i] for i in chosen], scoring, mode, band, order), strict=True):
+        for i, r in zip(chosen, _batch([pairs[i] for i in chosen], scoring, mode, band, order, ends), strict=True):
             out[i] = r
         at = to
     return out
@@ -279,7 +301,7 @@ def _mirrored(x: str, y: str, r: Alignment | None) -> Alignment | None:
     return Alignment(x, flipped, (n - r.range1[1], n - r.range1[0]), (m - r.range2[1], m - r.range2[0]), r.score)
 
 
-def _batch(pairs, scoring: Scoring, mode: str, band: int | None, order) -> list[Alignment | None]:
+def _batch(pairs, scoring: Scoring, mode: str, band: int | None, order, ends: Ends) -> list[Alignment | None]:
     affine = isinstance(scoring, AffineScoring)
     if order is None:
         order = ((DELETE, INSERT, DIAGONAL) if band is not None else (INSERT, DELETE, DIAGONAL)) if affine else (DIAGONAL, DELETE, INSERT)
@@ -289,23 +311,24 @@ def _batch(pairs, scoring: Scoring, mode: str, band: int | None, order) -> list[
     best = np.full((rows, cols, count), LOW, dtype=np.int32)
     dele, ins = (np.full((rows, cols, count), LOW, dtype=np.int32) for _ in range(2)) if affine else (None, None)
     edge = lambda n: open_ + (n - 1) * extend
+    free1, free2 = mode == "local" or not ends.bound1, mode == "local" or not ends.bound2
     best[0, 0] = 0
     reach_low = np.minimum(0, n2 - n1) - band if band is not None else None
     reach_high = np.maximum(0, n2 - n1) + band if band is not None else None
     local = mode == "local"
     for i in range(1, rows):
-        if local:
+        if free1:
             best[i, 0] = 0
         else:
             best[i, 0] = edge(i) if band is None else np.where(-i >= reach_low, edge(i), LOW)
-        if affine and not local:
+        if affine and not free1:
             dele[i, 0] = best[i, 0]
     for j in range(1, cols):
-        if local:
+        if free2:
             best[0, j] = 0
         else:
             best[0, j] = edge(j) if band is None else np.where(j <= reach_high, edge(j), LOW)
-        if affine and not local:
+        if affine and not free2:
             ins[0, j] = best[0, j]
     lane = np.arange(count)
     scores = scoring.matrix.astype(np.int32)
@@ -329,19 +352,34 @@ def _batch(pairs, scoring: Scoring, mode: str, band: int | None, order) -> list[
             if affine:
                 dele[i, j], ins[i, j] = d, n
     end1, end2 = n1.copy(), n2.copy()
-    if mode != "global":
+    if mode == "added_right":
+        last = [((n1 - k, n2), k) for k in range(ends.added1, -1, -1)] + [((n1, n2 - k), k) for k in range(ends.added2, -1, -1)]
+        top = np.full(count, LOW - 1)
+        for (i, j), _ in last:
+            ok = (i >= 0) & (j >= 0)
+            here = np.where(ok, best[np.maximum(i, 0), np.maximum(j, 0), lane], LOW - 1)
+            better = here > top
+            top, end1, end2 = np.where(better, here, top), np.where(better, i, end1), np.where(better, j, end2)
+    elif mode != "global":
         floor = 0
         inside = (np.arange(rows)[:, None, None] <= n1) & (np.arange(cols)[None, :, None] <= n2)
+        if ends.stop_penalty is not None:
+            reward = int(scoring.matrix[0, 0])
+            row_best = np.where(inside, best, LOW)[1:, 1:].max(axis=1)
+            low = row_best - np.arange(rows - 1)[:, None] * reward < ends.stop_penalty
+            # the edge and the first row are always tried, a later one if no row before it was too low
+            tried = np.vstack([np.ones((min(2, rows), count), bool), np.cumsum(low, axis=0)[:-1] == 0])
+            inside = inside & tried[:, None, :]
         masked = np.where(inside, best, LOW).reshape(rows * cols, count)
         where = masked.argmax(axis=0)  # the first of equals by rows
         top = masked[where, lane]
         end1, end2 = where // cols, where % cols
         nothing = top <= floor
         end1[nothing] = end2[nothing] = 0
-    return [_trace(r, pairs[r], a[r], b[r], int(end1[r]), int(end2[r]), best[:, :, r], dele[:, :, r] if affine else None, ins[:, :, r] if affine else None, scoring, order, local) for r in range(count)]
+    return [_trace(pairs[r], a[r], b[r], int(end1[r]), int(end2[r]), best[:, :, r], dele[:, :, r] if affine else None, ins[:, :, r] if affine else None, scoring, order, local, free1, free2) for r in range(count)]
 
 
-def _trace(r, pair, a, b, i, j, best, dele, ins, scoring, order, local) -> Alignment | None:
+def _trace(pair, a, b, i, j, best, dele, ins, scoring, order, local, free1, free2) -> Alignment | None:
     if local and i == 0:
         return None
     to1, to2, score = i, j, int(best[i, j])
@@ -350,7 +388,7 @@ def _trace(r, pair, a, b, i, j, best, dele, ins, scoring, order, local) -> Align
     state = None  # inside which gap the path is
     now = score
     while i or j:
-        if local and now == 0 and state is None:
+        if state is None and (local and now == 0 or (free2 and i == 0) or (free1 and j == 0)):
             break
         moves = (state,) if state is not None else order
         for move in moves:
@@ -387,7 +425,7 @@ def align_substitutions(a: str, b: str, scoring: Scoring | None = None) -> Align
     return Alignment(a, muts, (0, len(a)), (0, len(b)), sum(int(scoring.matrix[codes.index(x), codes.index(y)]) for x, y in zip(a, b, strict=True)))
 
 
-def align_columns(seq1: Column, seq2: Column, scoring: Scoring | None = None, mode: str = "global", band: int | None = None) -> Column:
+def align_columns(seq1: Column, seq2: Column, scoring: Scoring | None = None, mode: str = "global", band: int | None = None, ends: Ends = ALL) -> Column:
     """struct(score, mutations, from1, to1, from2, to2); null without an alignment or for nulls. Arrow batches."""
     scoring = scoring or LinearScoring.nucleotide()
 
@@ -396,7 +434,7 @@ def align_columns(seq1: Column, seq2: Column, scoring: Scoring | None = None, mo
         for x, y in batches:
             some = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
             rows: list[tuple] = [(None,) * 6] * len(x)
-            for i, r in zip(some, align([(x.iloc[i], y.iloc[i]) for i in some], scoring, mode, band), strict=True):
+            for i, r in zip(some, align([(x.iloc[i], y.iloc[i]) for i in some], scoring, mode, band, None, ends), strict=True):
                 if r is not None:
                     rows[i] = (r.score, encode(r.mutations), *r.range1, *r.range2)
             out = pd.DataFrame(rows, columns=["score", "mutations", "from1", "to1", "from2", "to2"])

@@ -242,3 +242,24 @@ def test_indel_search():
     assert mo.indel_hits_first("TTACGTTT", m, 0) == [(2, 0)]
     assert mo.Motif.of("N").allows("R", 0) and not mo.Motif.of("R").allows("N", 0)
     assert (mo.Motif.of("A") | mo.Motif.of("C")).matches("C", 0)
+
+
+@pytest.mark.parametrize("scoring", [al.LinearScoring.nucleotide(), al.AffineScoring.nucleotide()])
+def test_ends_against_global_scores(scoring):
+    pairs = _pairs(40, 6)
+    added = al.Ends(added1=4, added2=3)
+    for (a, b), r, back in zip(pairs, al.align(pairs, scoring, "added_right", ends=added), al.align([(x[::-1], y[::-1]) for x, y in pairs], scoring, "added_left", ends=added), strict=True):
+        cells = [(len(a) - k, len(b)) for k in range(4, -1, -1)] + [(len(a), len(b) - k) for k in range(3, -1, -1)]
+        cells = [(i, j) for i, j in cells if i >= 0 and j >= 0]
+        scores = [_oracle_score(a[:i], b[:j], scoring) for i, j in cells]
+        assert r.score == max(scores) and (r.range1[1], r.range2[1]) == cells[scores.index(max(scores))]
+        assert mu.mutate(a[: r.range1[1]], r.mutations) == b[: r.range2[1]] and back.score == r.score
+
+
+def test_free_edges_and_stop():
+    s = al.LinearScoring.nucleotide()
+    free = al.align([("TTTACGT", "ACGT")], s, "left", ends=al.Ends(bound1=False))[0]
+    assert (free.range1, free.range2, free.score) == ((3, 7), (0, 4), 20)
+    a, b = "ACGTACGT" + "T" * 10 + "ACGTACGTACGT", "ACGTACGT" + "G" * 10 + "ACGTACGTACGT"
+    assert al.align([(a, b)], s, "left")[0].range1 == (0, 30)
+    assert al.align([(a, b)], s, "left", ends=al.Ends(stop_penalty=-40))[0].range1 == (0, 8)
