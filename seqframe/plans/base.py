@@ -12,7 +12,7 @@ LETTERS = "AGCTAGCTAGCTAGCT"
 
 #: SQL for the derived reads: doc_id, seq (32 letters), qual (32 values), of documents with a text.
 READS_SQL = f"""reads AS (SELECT doc_id, lang, source, translate(md5(text), '{HEX}', '{LETTERS}') AS seq,
-  list_transform(range(1, 33), lambda i: instr('{HEX}', substr(md5(text), i, 1)) - 1) AS qual FROM documents WHERE text IS NOT NULL)"""
+  list_transform(range(1, 33), lambda i: CAST(instr('{HEX}', substr(md5(text), i, 1)) - 1 AS INTEGER)) AS qual FROM documents WHERE text IS NOT NULL)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

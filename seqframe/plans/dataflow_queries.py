@@ -50,7 +50,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.coverage(_intervals(spark, sf_dir), "lower", "upper", ["g"], bin_width=64)
 
 
-@query(f"WITH {INTERVALS} SELECT g, min(lower) AS lower, max(upper) AS upper FROM iv GROUP BY g")
+@query(f"WITH {INTERVALS} SELECT g, CAST(min(lower) AS INTEGER) AS lower, CAST(max(upper) AS INTEGER) AS upper FROM iv GROUP BY g")
 def enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.enclosing(_intervals(spark, sf_dir), ["g"])
 
@@ -167,14 +167,14 @@ def _mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUSED = f"m AS (SELECT l_linenumber, CASE WHEN l_quantity > 25 THEN [({_MUTS})[1], 'I8AC'] ELSE {_MUTS} END AS muts, CAST(l_quantity AS BIGINT) AS w, 4 + l_linenumber AS upper FROM lineitem), e AS (SELECT l_linenumber, w, unnest(muts) AS mutation FROM m)"
 
 
-@query(f"WITH {_FUSED} SELECT l_linenumber, mutation, sum(w) AS weight FROM e GROUP BY ALL")
+@query(f"WITH {_FUSED} SELECT l_linenumber, mutation, CAST(sum(w) AS BIGINT) AS weight FROM e GROUP BY ALL")
 def mutation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.mutation_counts(_mutations(spark, sf_dir), "muts", "w", ["l_linenumber"])
 
 
 @query(
-    f"""WITH {_FUSED}, c AS (SELECT mutation, CAST(regexp_extract(mutation, '^[A-Z]+?([0-9]+)', 1) AS INTEGER) AS position, sum(w) AS weight FROM e GROUP BY ALL),
-  d AS (SELECT p AS position, sum(w) AS coverage FROM m, unnest(range(0, upper)) u(p) GROUP BY p)
+    f"""WITH {_FUSED}, c AS (SELECT mutation, CAST(regexp_extract(mutation, '^[A-Z]+?([0-9]+)', 1) AS INTEGER) AS position, CAST(sum(w) AS BIGINT) AS weight FROM e GROUP BY ALL),
+  d AS (SELECT p AS position, CAST(sum(w) AS BIGINT) AS coverage FROM m, unnest(range(0, upper)) u(p) GROUP BY p)
   SELECT mutation, position, weight, coverage FROM c JOIN d USING (position) WHERE weight > 0.02 * coverage"""
 )
 def mutation_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def _muts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("doc_id", "seq", text.alias("muts"))
 
 
-@query(WITH + f", m AS (SELECT doc_id, seq, {MUTS} AS muts FROM reads) SELECT doc_id, muts, CAST(2 AS INTEGER) AS indels, CAST(0 AS INTEGER) AS delta, true AS fits, [3 * 4096 + (instr('AGCT', substr(seq, 4, 1)) - 1) * 128 + 32 + instr('AGCT', translate(substr(seq, 4, 1), 'ACGT', 'CGTA')) - 1, 10 * 4096 + (instr('AGCT', substr(seq, 11, 1)) - 1) * 128 + 64, 20 * 4096 + 96 + 1] AS packed FROM m")
+@query(WITH + f", m AS (SELECT doc_id, seq, {MUTS} AS muts FROM reads) SELECT doc_id, muts, CAST(2 AS INTEGER) AS indels, CAST(0 AS INTEGER) AS delta, true AS fits, [3 * 4096 + (instr('AGCT', substr(seq, 4, 1)) - 1) * 128 + 32 + instr('AGCT', translate(substr(seq, 4, 1), 'ACGT', 'CGTA')) - 1, 10 * 4096 + (instr('AGCT', substr(seq, 11, 1)) - 1) * 128 + 64, 20 * 4096 + 96 + 1]::INTEGER[] AS packed FROM m")
 def mutations_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("muts")
     return _muts(spark, sf_dir).select("doc_id", "muts", mu.count_kind(m, "ID").alias("indels"), mu.length_delta_column(m).alias("delta"), mu.compatible(F.col("seq"), m).alias("fits"), mu.packed(m).alias("packed"))

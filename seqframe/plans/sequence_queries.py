@@ -44,7 +44,7 @@ def canonical_kmer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(s.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(20)
 
 
-@query(WITH + "SELECT doc_id, len(seq) - len(replace(replace(seq, 'G', ''), 'C', '')) AS gc FROM reads")
+@query(WITH + "SELECT doc_id, CAST(len(seq) - len(replace(replace(seq, 'G', ''), 'C', '')) AS INTEGER) AS gc FROM reads")
 def gc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("doc_id", s.gc_count(F.col("seq")).alias("gc"))
 
@@ -55,13 +55,13 @@ def contains_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("doc_id", s.contains_wildcards(t).alias("has_wildcards"), s.belongs_to(t).alias("valid"))
 
 
-@query(f"WITH {reads_sql()}, {reads_sql('#2', 'mates')} SELECT a.doc_id, len(list_filter(range(1, 33), lambda i: substr(a.seq, i, 1) <> substr(b.seq, i, 1))) AS mismatches FROM reads a JOIN mates b USING (doc_id)")
+@query(f"WITH {reads_sql()}, {reads_sql('#2', 'mates')} SELECT a.doc_id, CAST(len(list_filter(range(1, 33), lambda i: substr(a.seq, i, 1) <> substr(b.seq, i, 1))) AS INTEGER) AS mismatches FROM reads a JOIN mates b USING (doc_id)")
 def mismatch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = reads(spark, sf_dir).join(reads(spark, sf_dir, "#2").select("doc_id", F.col("seq").alias("mate")), "doc_id")
     return both.select("doc_id", s.mismatch_count(F.col("seq"), F.col("mate")).alias("mismatches"))
 
 
-@query(WITH + "SELECT doc_id, instr(seq, 'ACG') - 1 AS at, -1 AS empty_at FROM reads")
+@query(WITH + "SELECT doc_id, CAST(instr(seq, 'ACG') - 1 AS INTEGER) AS at, -1 AS empty_at FROM reads")
 def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("doc_id", s.index_of(F.col("seq"), F.lit("ACG")).alias("at"), s.index_of(F.col("seq"), F.lit("")).alias("empty_at"))
 
@@ -105,13 +105,13 @@ def translate_from_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir).select("doc_id", s.translate(F.col("seq"), s.FROM_CENTER).alias("aa"))
 
 
-@query(WITH + f", aa AS (SELECT doc_id, {_codons('seq', '0', '10')} AS aa FROM reads) SELECT doc_id, len(aa) - len(replace(aa, '*', '')) AS stops, contains(aa, '*') AS has_stops FROM aa")
+@query(WITH + f", aa AS (SELECT doc_id, {_codons('seq', '0', '10')} AS aa FROM reads) SELECT doc_id, CAST(len(aa) - len(replace(aa, '*', '')) AS INTEGER) AS stops, contains(aa, '*') AS has_stops FROM aa")
 def count_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     aa = reads(spark, sf_dir).select("doc_id", s.translate(F.col("seq")).alias("aa"))
     return aa.select("doc_id", s.count_stops(F.col("aa")).alias("stops"), s.contains_stops(F.col("aa")).alias("has_stops"))
 
 
-@query(WITH + f"SELECT doc_id, p AS nt, CASE WHEN p < {N} % 3 THEN 0 ELSE (p - {N} % 3) // 3 + CASE WHEN {N} % 3 <> 0 THEN 1 ELSE 0 END END AS aa, CASE WHEN p < {N} % 3 THEN p - {N} % 3 + 3 ELSE (p - {N} % 3) % 3 END AS in_codon FROM reads, unnest(range(0, 12)) u(p)")
+@query(WITH + f"SELECT doc_id, CAST(p AS INTEGER) AS nt, CAST(CASE WHEN p < {N} % 3 THEN 0 ELSE (p - {N} % 3) // 3 + CASE WHEN {N} % 3 <> 0 THEN 1 ELSE 0 END END AS INTEGER) AS aa, CAST(CASE WHEN p < {N} % 3 THEN p - {N} % 3 + 3 ELSE (p - {N} % 3) % 3 END AS INTEGER) AS in_codon FROM reads, unnest(range(0, 12)) u(p)")
 def nt_to_aa_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _cut(spark, sf_dir).withColumn("nt", F.explode(F.sequence(F.lit(0), F.lit(11))))
     at = s.nt_to_aa_position(F.col("nt"), F.length("seq"), s.FROM_RIGHT)
