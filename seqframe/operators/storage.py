@@ -9,15 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _registered: list[tuple[SparkSession, str]] = []
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="seqframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder in spark.checkpoint.dir, with its scheme, or, where that is unset (tests), a temporary one."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqframe-shared-")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+        _folders[app] = f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    return _folders[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
