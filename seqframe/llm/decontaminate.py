@@ -221,7 +221,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.  Null and empty texts have no words and no hits;
     items without words match nothing; items that repeat a text are all named.  Empty tables give no rows, or rows without
     hits; other columns are ignored.  The benchmark is taken in blocks of at most block_chars characters (an item longer than
-    that is a block of its own), one broadcast and one pass over docs each, so that no broadcast grows with its size.
+    that is a block of its own), one broadcast and one pass over docs each, so that no broadcast grows with its size; with more
+    than one block, rows that repeat a doc_id become one.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     passes, batch, size = [], [], 0

@@ -43,15 +43,16 @@ def fit_dictionaries(docs: DataFrame, slots: int = SLOTS, piece: int = PIECE_CHA
     a partial aggregate of one long a slot, whatever the number of rows.
     """
     own = F.xxhash64(F.lit("dictionary"), F.col(key))
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), own.alias("h"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), own.alias("h"), F.col(text).alias("text"))
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
     chosen = chosen.limit(MAX_LANGUAGES * slots + 1)
     if (n := chosen.count()) > MAX_LANGUAGES * slots:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled: {n} samples")
     sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.substring("text", 1, piece).alias("text"))
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat an id count once
     found: dict[str, dict[int, str]] = {}
-    for r in sample.orderBy("lang", "h", "text").collect():  # at most one row a slot, but for repeated rows
-        found.setdefault(r["lang"], {}).setdefault(r["h"], r["text"])
+    for r in sample.orderBy("lang", "h").collect():  # one row a slot at most
+        found.setdefault(r["lang"], {})[r["h"]] = r["text"]
     return {k: b" ".join(folded(t) for t in v.values()) for k, v in sorted(found.items())}
 
 

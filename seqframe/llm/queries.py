@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from . import oracle
 from .cotrain import score_quality
 from .decontaminate import digest_items, mark_contamination
 from .exact_dedup import exact_dedup
@@ -87,17 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_exact_dedup": """
-        WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
-        g AS (SELECT doc_id, text_sha256, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+    "op2_decontaminate": oracle.DECONTAMINATE,
+    "op4_exact_dedup": oracle.EXACT,
     "op6_mixing": MIXING_SQL.format(target=corpus_pipeline.TARGET_ENTROPY, seed=corpus_pipeline.SEED),
-    "op10_warc_zip": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-          CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-          CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
-        FROM f""",
+    "op7_minhash": oracle.NEAR,
+    "op8_substring_dedup": oracle.SUBSTRING,
+    "op10_warc_zip": oracle.ARCHIVE,
 }

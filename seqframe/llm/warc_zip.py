@@ -148,12 +148,14 @@ class PackageReader:
         return offset + 30 + name_len + extra_len, size
 
 
-def record_bytes(kind: str, url: str | None, page_id: int, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member. A revisit holds the HTTP head only, with the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {page_id}"]
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}" if page_id is not None else f"payload:{digest}")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if page_id is not None:
+        lines.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page-Id: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -273,8 +275,8 @@ def _fetch(batches, folder: str):
                     digest = hashlib.sha256(r["payload"]).hexdigest() if full else h["warc-payload-digest"].partition(":")[2]
                     if full and digest != h["warc-payload-digest"].partition(":")[2]:
                         raise ValueError(f"record at {at} of {path}: the payload doesn't match its digest")
-                    refers = h.get("x-refers-to-page-id")
-                    out.append((int(h["x-page-id"]), h["warc-target-uri"], len(r["payload"]) if full else int(r["http"]["content-length"]), digest, h["warc-type"], None if refers is None else int(refers), r["payload"] if full else None))
+                    page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
+                    out.append((None if page is None else int(page), h["warc-target-uri"], len(r["payload"]) if full else int(r["http"]["content-length"]), digest, h["warc-type"], None if refers is None else int(refers), r["payload"] if full else None))
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
@@ -294,7 +296,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages into packages in the shared folder and reads them back.
 
     Null html is an empty payload; payloads under 100 bytes are responses all; of rows that repeat a page_id and payload
-    each is a response if it is the first, since none is smaller.  Null page_ids aren't supported by the format and raise.
+    each is a response if it is the first, since none is smaller.  Rows without a page_id are responses that nothing refers to.
     An empty table makes no package and no rows; other columns are ignored.
     """
     folder = new_path(pages.sparkSession, "packages")

@@ -32,6 +32,8 @@ def test_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("revisit", 1) if again else ("response", None))
         assert r.payload == (None if again else body)
     assert wz.archive_round_trip(pages(spark, [])).collect() == []
+    odd = wz.archive_round_trip(pages(spark, [(None, None, LONG), (5, "u", LONG), (5, "u", LONG), (None, "u", LONG)])).collect()
+    assert [(r.page_id, r.record_type) for r in sorted(odd, key=lambda r: str(r.page_id))] == [(5, "response"), (5, "response"), (None, "response"), (None, "response")]
 
 
 def test_several_packages_and_zip64(spark, tmp_path):
