@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import mismatch_count
+
 #: Default penalties of a mismatch, a deletion and an insertion.
 PENALTIES = (0.1, 0.21, 0.32)
 MISMATCH, DELETION, INSERTION = 0, 1, 2
@@ -33,6 +35,11 @@ class SearchLimits:
         every = self.mismatches + self.deletions + self.insertions
         return every if self.total is None else min(every, self.total)
 
+    @property
+    def only_total(self) -> bool:
+        """Whether any edits do, up to a number of them."""
+        return not self.greedy and self.max_penalty is None and min(self.mismatches, self.deletions, self.insertions) >= self.edits
+
     @property
     def bound(self) -> float:
         return float("inf") if self.max_penalty is None else self.max_penalty
@@ -122,10 +129,12 @@ def candidates(queries: DataFrame, keys: DataFrame, limits: SearchLimits) -> Dat
     return q.join(k, ["n", "part", "letters"]).select("query", "key").distinct()
 
 
-def fuzzy_join(queries: DataFrame, keys: DataFrame, query: str, key: str, limits: SearchLimits, guide: Guide | None = None) -> DataFrame:
+def fuzzy_join(queries: DataFrame, keys: DataFrame, query: str, key: str, limits: SearchLimits, guide: Guide | None = None, explain: bool = True) -> DataFrame:
     """All pairs of rows within the limits: queries' columns prefixed q_, keys' k_, and penalty, mismatches, deletions, insertions.
 
-    Equal sequences are searched once; edit distance, a built-in, sorts candidates out before the exact check.
+    Equal sequences are searched once; edit distance, a built-in, sorts candidates out before the exact check.  Built-ins
+    alone decide where they can: for mismatches without indels, and, with explain=False (pairs and nothing else), where only the
+    total of edits is limited.
     """
     qs = queries.select(F.col(query).alias("query")).filter("query IS NOT NULL").distinct()
     ks = keys.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
@@ -134,11 +143,17 @@ def fuzzy_join(queries: DataFrame, keys: DataFrame, query: str, key: str, limits
     if limits.deletions or limits.insertions:
         near = near.filter(F.levenshtein("query", "key", e) >= 0)
     else:
-        from ..functions.sequence import mismatch_count
-
         near = near.filter(mismatch_count(F.col("query"), F.col("key")) <= e)
-    found = near.withColumn("hit", hit_column(F.col("query"), F.col("key"), limits, guide)).filter("hit.penalty IS NOT NULL")
-    found = found.select("query", "key", "hit.*")
+    if guide is None and not (limits.deletions or limits.insertions):
+        errors = mismatch_count(F.col("query"), F.col("key"))
+        cost = F.round(errors * limits.penalties[MISMATCH], 9)
+        found = near.select("query", "key", cost.alias("penalty"), errors.alias("mismatches"), F.lit(0).alias("deletions"), F.lit(0).alias("insertions"))
+        found = found.filter(F.col("penalty") <= limits.bound + 1e-9)
+    elif not explain and guide is None and limits.only_total:
+        found = near.select("query", "key")
+    else:
+        found = near.withColumn("hit", hit_column(F.col("query"), F.col("key"), limits, guide)).filter("hit.penalty IS NOT NULL")
+        found = found.select("query", "key", "hit.*") if explain else found.select("query", "key")
     a = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
     b = keys.select(*[F.col(c).alias(f"k_{c}") for c in keys.columns])
     out = a.join(found, F.col(f"q_{query}") == F.col("query")).join(b, F.col(f"k_{key}") == F.col("key"))

@@ -150,3 +150,10 @@ def trimmed_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = reads(spark, sf_dir).select("doc_id", F.struct("seq", "qual").alias("r1"), F.struct(s.reverse_complement(F.col("seq")).alias("seq"), F.reverse("qual").alias("qual")).alias("r2"))
     cut = rd.drop_empty(rd.trim_mates(pairs, TrimParameters(8.0, 4)))
     return cut.select("doc_id", F.col("r1.seq").alias("r1_seq"), F.col("r2.seq").alias("r2_seq"), F.size("r1.qual").alias("n1"))
+
+
+@query(WITH + "SELECT doc_id AS ref_id, 0 AS lower, seq FROM reads")
+def merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads cut into overlapping stretches and put together again."""
+    cut = reads(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "seq", F.explode(F.array(*[F.lit(x) for x in (0, 8, 10, 22)])).alias("lower"))
+    return src.merge_fragments(cut.select("ref_id", "lower", F.substring("seq", F.col("lower") + 1, F.lit(14)).alias("seq")))

@@ -190,3 +190,20 @@ def regions(chunks: DataFrame, wanted: DataFrame, size: int = 4096) -> DataFrame
 
 def schema_of(kind: str) -> T.StructType:
     return T.StructType.fromDDL({"fastq": FASTQ_SCHEMA, "fasta": FASTA_SCHEMA}[kind])
+
+
+def merge_fragments(df: DataFrame) -> DataFrame:
+    """ref_id, lower, seq: fragments that overlap or touch as one; an error where two disagree on a letter."""
+    w = Window.partitionBy("ref_id").orderBy("lower", F.length("seq"))
+    reach = F.max(F.col("lower") + F.length("seq")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = df.select("ref_id", "lower", "seq", F.when(reach.isNull() | (F.col("lower") > reach), 1).otherwise(0).alias("new"))
+    islands = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = islands.groupBy("ref_id", "island").agg(F.sort_array(F.collect_list(F.struct("lower", "seq"))).alias("p"))
+
+    def add(acc: Column, f: Column) -> Column:
+        at = f["lower"] - F.get(F.col("p"), F.lit(0))["lower"]
+        both = F.greatest(F.lit(0), F.least(F.length(acc) - at, F.length(f["seq"])))
+        agree = F.substring(acc, at + 1, both) == F.substring(f["seq"], F.lit(1), both)
+        return F.when(agree, F.concat(acc, F.substring(f["seq"], both + 1, F.length(f["seq"])))).otherwise(F.raise_error(F.lit("fragments disagree")))
+
+    return parts.select("ref_id", F.get("p", F.lit(0))["lower"].alias("lower"), F.aggregate("p", F.lit(""), add).alias("seq"))

@@ -140,3 +140,15 @@ def test_hash_values():
     assert hashing.wang64([0, 1]).tolist() != [0, 1] and len(set(hashing.wang64(range(1000)).tolist())) == 1000
     assert len(set(hashing.wang32(range(1000)).tolist())) == len(set(hashing.jenkins_wang32(range(1000)).tolist())) == 1000
     assert hashing.murmur2(b"hello") == hashing.murmur2(b"hello") != hashing.murmur2(b"hellp")
+
+
+def test_fragments(spark):
+    rng = random.Random(6)
+    whole = "".join(rng.choice("ACGT") for _ in range(60))
+    cuts = [(0, 10), (5, 20), (20, 30), (8, 12), (40, 50), (45, 60)]
+    df = spark.createDataFrame([(1, a, whole[a:b]) for a, b in cuts], "ref_id long, lower int, seq string")
+    got = sorted((r.lower, r.seq) for r in src.merge_fragments(df).collect())
+    assert got == [(0, whole[:30]), (40, whole[40:60])]
+    wrong = df.union(spark.createDataFrame([(1, 41, "N")], df.schema))
+    with pytest.raises(Exception, match="disagree"):
+        src.merge_fragments(wrong).collect()
