@@ -135,28 +135,39 @@ def spanning_links(nodes: list, sets: list[np.ndarray], sigs: np.ndarray, left:
 
 
 def _confirm(batches, percent: int, threshold: int):
-    """Rows come sorted by unit, so units are whole one after the other."""
-    unit, rows = None, []
+    """Rows come sorted by unit, so units are whole one after the other; sets and signatures stay views of the Arrow buffers."""
+    unit, nodes, sets, sigs, left = None, [], [], [], []
 
     def done():
-        if len(rows) > 1:
-            sets = [np.frombuffer(r[2], dtype=tc.U64) for r in rows]
-            sigs = np.array([r[3] for r in rows], dtype=np.int32)
-            left = np.array([r[1] for r in rows], dtype=bool)
-            yield from spanning_links([r[0] for r in rows], sets, sigs, left, percent, threshold)
+        if len(nodes) > 1:
+            yield from spanning_links(nodes, sets, np.concatenate(sigs), np.array(left, dtype=bool), percent, threshold)
 
     def batch_of(edges):
         return pa.record_batch([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        edges = []
-        for key, node, first, items, sig in zip(*(batch.column(n).to_pylist() for n in ("unit", "node", "is_left", "items", "sig")), strict=True):
-            if key != unit:
+        edges, n = [], batch.num_rows
+        if not n:
+            continue
+        keys = batch.column("unit").to_numpy(zero_copy_only=False)
+        ids, first = batch.column("node").to_pylist(), batch.column("is_left").to_pylist()
+        lists = batch.column("sig")
+        coords = lists.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        items = batch.column("items").cast(pa.large_binary())
+        _, offsets, data = items.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64, count=items.offset + n + 1)[items.offset :]
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if keys[a] != unit:
                 edges += done()
-                unit, rows = key, []
-            rows.append((node, first, items, sig))
+                unit, nodes, sets, sigs, left = keys[a], [], [], [], []
+            nodes += ids[a:b]
+            left += first[a:b]
+            sigs.append(coords[a:b])
+            sets += [np.frombuffer(data, dtype=tc.U64, count=(y - x) // 8, offset=x) for x, y in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True)]
         yield batch_of(edges)
     yield batch_of(list(done()))
+    tc.give_back()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = 96, text: str = "text", key: str = "doc_id", block_rows: int = 512, block_items: int = 1 << 20) -> DataFrame:

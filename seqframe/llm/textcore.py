@@ -8,6 +8,7 @@ of the hashed words throughout (expected false matches over 10^9 distinct values
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: Bytes that are hashed at a time.
+PIECE = 1 << 18
+
+
 class _PowerTable:
     def __init__(self, base: U64):
         self.base, self.pos, self.neg = int(base), np.ones(1, U64), np.ones(1, U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 4 * PIECE:  # a single word, or a set hashed as a whole: not worth keeping
+            return _powers(self.base, n), _powers(_inverse(self.base), n)
         if len(self.pos) < n:
             size = 1 << (n - 1).bit_length()
             self.pos, self.neg = _powers(self.base, size), _powers(_inverse(self.base), size)
@@ -93,6 +100,21 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on from task to task and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 class Words:
@@ -125,15 +147,20 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.body)
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        pos, neg = _BYTE_POWERS.upto(n + 1)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_BYTE_VALUES[self.body] * pos[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * neg[self.starts]
-        return mix64(h ^ (self.ends - self.starts).astype(U64) * _WORD_MULT)
+        """A 64-bit hash of each word's bytes. Texts of any length are taken in pieces, so that tables of powers stay small."""
+        out = np.zeros(len(self.starts), dtype=U64)
+        at = 0
+        while at < len(out):
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + PIECE, side="right")))
+            begin, end = self.starts[at:to] - base, self.ends[at:to] - base
+            n = int(end[-1])
+            pos, neg = _BYTE_POWERS.upto(n + 1)
+            total = np.zeros(n + 1, dtype=U64)
+            np.cumsum(_BYTE_VALUES[self.body[base : base + n]] * pos[:n], out=total[1:])
+            out[at:to] = mix64((total[end] - total[begin]) * neg[begin] ^ (end - begin).astype(U64) * _WORD_MULT)
+            at = to
+        return out
 
     def text(self, i: int) -> bytes:
         return self.body[self.starts[i] : self.ends[i]].tobytes()
@@ -154,10 +181,16 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, U64)
-    pos, neg = _WORD_POWERS.upto(n + 1)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum(words * pos[:n], out=total[1:])
-    return mix64((total[k:] - total[:-k]) * neg[: n - k + 1] + U64(k))
+    out = np.empty(n - k + 1, dtype=U64)
+    step = PIECE // 8 if k < PIECE // 16 else n
+    for at in range(0, len(out), step):
+        part = words[at : at + step + k - 1]
+        m = len(part)
+        pos, neg = _WORD_POWERS.upto(m + 1)
+        total = np.zeros(m + 1, dtype=U64)
+        np.cumsum(part * pos[:m], out=total[1:])
+        out[at : at + step] = mix64((total[k:] - total[:-k]) * neg[: m - k + 1] + U64(k))
+    return out
 
 
 def sequence_hash(words: np.ndarray) -> int:

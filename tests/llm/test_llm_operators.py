@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from seqframe.llm import cotrain, decontaminate, exact_dedup, langid, lm_scoring, minhash, mixing, substring, token_counts
 from seqframe.llm import textcore as tc
