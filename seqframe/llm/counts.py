@@ -24,14 +24,22 @@ def emit(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             cells = np.flatnonzero(part)
             if len(cells):
                 n = part[cells].astype(np.int64)
-                n = n.astype(np.uint8) if n.max() < 256 else n.astype(np.uint32) if n.max() < 1 << 32 else n
-                yield pa.record_batch([pa.array([name]), pa.array([s // SEGMENT], pa.int32()), pa.array([cells.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["name", "segment", "cells", "counts"])
+                yield pa.record_batch([pa.array([name]), pa.array([s // SEGMENT], pa.int32()), pa.array([_planes(np.diff(cells, prepend=0), 2)], pa.binary()), pa.array([_planes(n, 8 if n.max() >> 32 else 4 if n.max() >> 8 else 1)], pa.binary())], names=["name", "segment", "cells", "counts"])
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers as their first bytes, then their second ones, and so on: high bytes are mostly 0, which the shuffle's compression likes."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def _unpacked(cells: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    at = np.frombuffer(cells, dtype=np.uint16)
-    kind = {1: np.uint8, 4: np.uint32, 8: np.int64}[len(counts) // len(at)]
-    return at, np.frombuffer(counts, dtype=kind)
+    at = np.cumsum(_numbers(cells, 2).astype(np.int64))
+    return at, _numbers(counts, len(counts) // len(at)).astype(np.int64)
 
 
 def _sum_segments(batches):
@@ -59,5 +67,5 @@ def gather(parts: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
     out = {name: np.zeros(n, dtype=np.int64) for name, n in sizes.items()}
     for r in summed.toLocalIterator():
         at, n = _unpacked(bytes(r["cells"]), bytes(r["counts"]))
-        out[r["name"]][r["segment"] * SEGMENT + at.astype(np.int64)] = n
+        out[r["name"]][r["segment"] * SEGMENT + at] = n
     return out

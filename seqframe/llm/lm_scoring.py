@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .counts import SCHEMA, emit, gather
-from .shared import bitmap, maybe_in
+from .shared import with_membership
 
 
 def cells(words: tc.Words, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,13 +84,10 @@ def _score(batches, models: tuple[Model, Model], word_bits: int, pair_bits: int)
 def fit_models(docs: DataFrame, target_ids: DataFrame, word_bits: int = 18, pair_bits: int = 22, strength: float = 8.0) -> tuple[Model, Model]:
     """(target, background) from docs (doc_id, text); target_ids: doc_id.
 
-    Only rows that a bitmap of fixed size can't tell from targets are joined, so most texts aren't shuffled.
+    Target documents are told by bitmaps of fixed size, so next to no text is shuffled.
     """
-    ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    flags = bitmap(ids, "doc_id")
-    far = maybe_in(docs, flags, "doc_id", keep=False).select("text", F.lit(False).alias("is_target"))
-    near = maybe_in(docs, flags, "doc_id").join(ids.withColumn("t", F.lit(True)), "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("is_target"))
-    parts = far.unionByName(near).mapInArrow(lambda it: _count(it, word_bits, pair_bits), SCHEMA)
+    told = with_membership(docs, target_ids, "doc_id", "is_target").select("text", "is_target")
+    parts = told.mapInArrow(lambda it: _count(it, word_bits, pair_bits), SCHEMA)
     sizes = {f"{m}_{n}": 1 << (pair_bits if n == "pair" else word_bits) for m in ("target", "all") for n in ("word", "context", "pair")}
     t = gather(parts, sizes)
     target, every = (Model(t[f"{m}_word"], t[f"{m}_context"], t[f"{m}_pair"], strength) for m in ("target", "all"))

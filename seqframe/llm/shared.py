@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..operators.storage import Stored, new_path, shared_dir
 
-__all__ = ["Stored", "bitmap", "components", "maybe_in", "new_path", "shared_dir", "with_maybe", "without_ids"]
+__all__ = ["Stored", "bitmap", "components", "maybe_in", "new_path", "shared_dir", "with_maybe", "with_membership", "without_ids"]
 
 
 def _spot(keys: tuple[str, ...], bits: int):
@@ -42,8 +42,22 @@ def maybe_in(df: DataFrame, flags: DataFrame, *key: str, bits: int = 22, keep: b
     return out.filter("__maybe" if keep else "NOT __maybe").drop("__maybe")
 
 
+def with_membership(df: DataFrame, ids: DataFrame, key: str = "doc_id", name: str = "member") -> DataFrame:
+    """df and a boolean: whether the row's key is in ids (column `key`). Exact, and hardly any row is shuffled.
+
+    A bitmap of the ids has false positives; those are found among keys alone and get a bitmap of their own.  Only rows that both
+    bitmaps claim are joined.  Null keys are no members.
+    """
+    known = ids.select(key).filter(F.col(key).isNotNull()).distinct()
+    first = bitmap(known, key)
+    wrong = maybe_in(df.select(key).filter(F.col(key).isNotNull()), first, key).join(known, key, "left_anti")
+    marked = with_maybe(with_maybe(df, first, key, name="__first"), bitmap(wrong, key), key, name="__second")
+    marked = marked.withColumn("__first", F.col("__first") & F.col(key).isNotNull())
+    sure = marked.filter("NOT (__first AND __second)").select(*df.columns, F.col("__first").alias(name))
+    unsure = marked.filter("__first AND __second").join(known.withColumn("__known", F.lit(True)), key, "left")
+    return sure.unionByName(unsure.select(*df.columns, F.coalesce("__known", F.lit(False)).alias(name)))
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs but the rows whose key is in `dropped`; only rows that a bitmap can't clear are shuffled. Rows with a null key stay."""
-    flags = bitmap(dropped, key)
-    unsure = maybe_in(docs, flags, key).join(dropped.select(key).distinct(), key, "left_anti")
-    return maybe_in(docs, flags, key, keep=False).unionByName(unsure.select(*docs.columns))
+    """docs but the rows whose key is in `dropped`; its own columns. Rows with a null key stay."""
+    return with_membership(docs, dropped, key, "__gone").filter("NOT __gone").drop("__gone")
