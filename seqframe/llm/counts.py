@@ -37,6 +37,16 @@ def _numbers(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes."""
+    return pa.compress(_planes(x, 8), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that packed() took."""
+    return _numbers(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), 8).view(np.int64)
+
+
 def _unpacked(cells: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum(_numbers(cells, 2).astype(np.int64))
     return at, _numbers(counts, len(counts) // len(at)).astype(np.int64)

@@ -288,6 +288,26 @@ def test_lm_scores_against_a_plain_model(spark, docs, empty):
     assert lm_scoring.cross_entropy_difference(empty, ids).collect() == []
 
 
+def test_lm_counts_every_distinct_word_and_bigram_apart(spark):
+    """More distinct words than 2^18: with tables of fixed size they shared counts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{i * 1500 + n}" if n % 2 else f"c{rng.randrange(40)}" for n in range(1500)), None, None) for i in range(400)]
+    target = set(range(0, 400, 7))
+    got = byid(lm_scoring.cross_entropy_difference(make(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long"), chunk_bytes=1 << 18), "n_tokens", "ce_target", "ce_background", "ce_diff")
+    texts = {i: t.split() for i, t, *_ in rows}
+    grams = {i: list(zip([None, *t[:-1]], t, strict=True)) for i, t in texts.items()}
+    vocabulary = len({x for t in texts.values() for x in t})
+    assert vocabulary > 2**18
+    means = []
+    for chosen in (target, set(texts)):
+        c, w, p = (Counter(k(g) for i in chosen for g in grams[i]) for k in (lambda g: g[0], lambda g: g[1], lambda g: g))
+        n = sum(w.values())
+        loss = lambda g, c=c, w=w, p=p, n=n: math.log(c[g[0]] + 8) - math.log(p[g] + 8 * (w[g[1]] + 0.5) / (n + 0.5 * vocabulary))
+        means.append({i: sum(map(loss, g)) / len(g) for i, g in grams.items()})
+    for i in texts:
+        assert got[i][0] == 1500 and np.allclose(got[i][1:], [means[0][i], means[1][i], means[0][i] - means[1][i]], rtol=1e-9)
+
+
 def test_language(spark, empty):
     rng = random.Random(0)
     vocab = {"xx": ["abra", "kadab", "rass", "umba", "zel"], "yy": ["frotz", "nitfol", "gnus", "to", "plugh"], "zz": ["été", "où", "çava", "naïf", "eau"]}
