@@ -1,6 +1,7 @@
 """Joins against brute force, clustering, batch alignment and the merge planner."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -146,6 +147,22 @@ def test_seed_alignment_finds_targets(spark):
         assert mu.mutate(part, [m.moved(-r.from1) for m in mu.decode(r.mutations)]) == r.seq[r.from2 : r.to2]
 
 
+def test_best_hit_among_many_candidates(spark):
+    """More references with most votes than any fixed number of candidates; the best score has fewer votes."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    q = letters(60)
+    change = lambda s, *at: "".join("ACGT"["ACGT".index(c) ^ 1] if i in at else c for i, c in enumerate(s))
+    # four changes side by side spoil fewer words than two apart, but cost four mismatches
+    refs = [(i, letters(20) + change(q, 28, 29, 30, 31) + letters(20)) for i in range(40)] + [(99, letters(20) + change(q, 22, 40) + letters(20))]
+    queries = spark.createDataFrame([(1, q)], "query_id long, seq string")
+    p = replace(ba.PRESETS["default"], relative_votes=0.7)
+    table = spark.createDataFrame(refs, "ref_id long, seq string")
+    votes = {x.ref_id: x.votes for x in ba.map_seeds(queries, table, p).collect()}
+    assert sum(v > votes[99] for v in votes.values()) == 40
+    assert {x.ref_id for x in ba.seed_align(queries, table, p).filter("rank = 1").collect()} == {99}
+
+
 def test_merge_strategy():
     whole, part, other = flow.Key("s", frozenset({("s", 0, 10)})), flow.Key("p", frozenset({("s", 2, 5)})), flow.Key("o")
     assert part.relation(whole) is flow.Relation.NECESSARY and whole.relation(part) is flow.Relation.SUFFICIENT
