@@ -102,13 +102,13 @@ def align_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries_and_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """References of 96 letters from every tenth text; queries of 40 letters of them with one changed."""
+    """References of 96 letters from every text; queries of 40 letters of them with one changed."""
     digest = F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("#1"))), F.md5(F.concat("text", F.lit("#2"))))
     long = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", seq_of(digest).alias("seq"))
-    refs = long.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("ref_id"), "seq")
+    refs = long.select(F.col("doc_id").alias("ref_id"), "seq")
     at = (F.col("doc_id") / 10 % 50).cast("int")
     part = F.substring("seq", at + 1, F.lit(40))
-    queries = long.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.overlay(part, F.lit("A"), F.lit(20), F.lit(1)).alias("seq"))
+    queries = long.select(F.col("doc_id").alias("query_id"), F.overlay(part, F.lit("A"), F.lit(20), F.lit(1)).alias("seq"))
     return queries, refs
 
 
@@ -125,7 +125,8 @@ def seed_clustered_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def batch_align_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, refs = _queries_and_refs(spark, sf_dir)
-    return ba.brute_force(queries.filter("query_id % 100 = 0"), refs.filter("ref_id % 50 = 0"), cut=ba.HitCut(60, 0.9, 3))
+    """Query ids divisible by 100 against all references."""
+    return ba.brute_force(queries.filter("query_id % 100 = 0"), refs, cut=ba.HitCut(60, 0.9, 3))
 
 
 @query()

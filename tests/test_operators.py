@@ -17,6 +17,7 @@ from seqframe.operators import dataflow as flow
 from seqframe.operators import fuzzy as fz
 from seqframe.operators import intervals as iv
 from seqframe.operators.graph import components
+from seqframe.plans import catalogue
 
 
 def _column(spark, text, *exprs):
@@ -163,6 +164,27 @@ def test_best_hit_among_many_candidates(spark):
     assert {x.ref_id for x in ba.seed_align(queries, table, p).filter("rank = 1").collect()} == {99}
 
 
+def test_alignment_queries_read_every_document(spark, tmp_path):
+    """A reference whose id 50 does not divide is the best hit of query 100, and queries of other ids are answered."""
+    rows = [(i, f"text {i}") for i in range(1, 60)] + [(100, "text 7")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: catalogue.QUERIES[name](spark, str(tmp_path)).collect() for name in ("batch_align_brute_force", "seed_vote_align", "seed_clustered_align")}
+    assert {r.ref_id for r in got["batch_align_brute_force"] if r.rank == 1} == {7}
+    for name in ("seed_vote_align", "seed_clustered_align"):
+        assert {r.query_id for r in got[name]} == {i for i, _ in rows}, name
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_brute_force_in_blocks_finds_what_one_block_finds(spark, ties):
+    refs, queries = ba.challenge(spark, refs=12, queries=20)
+    cut = ba.HitCut(10, 0.3, 3, ties)
+    whole, blocks = ([tuple(r) for r in ba.brute_force(queries, refs, cut=cut, block_letters=n).collect()] for n in (1 << 20, 300))
+    assert whole and sorted(whole) == sorted(blocks)
+    short = lambda df, key: df.select(key, F.substring("seq", 1, 8).alias("seq"))
+    whole, blocks = ([tuple(r) for r in ba.substitution_hits(short(queries, "query_id"), short(refs, "ref_id"), cut=ba.HitCut(-8, 0.8, 3, ties), block_letters=n).collect()] for n in (1 << 20, 16))
+    assert whole and sorted(whole) == sorted(blocks)
+
+
 def test_merge_strategy():
     whole, part, other = flow.Key("s", frozenset({("s", 0, 10)})), flow.Key("p", frozenset({("s", 2, 5)})), flow.Key("o")
     assert part.relation(whole) is flow.Relation.NECESSARY and whole.relation(part) is flow.Relation.SUFFICIENT
