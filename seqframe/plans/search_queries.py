@@ -194,7 +194,7 @@ def mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects are distinct stretches of 7 letters, weighted by how often they occur."""
-    objects = reads(spark, sf_dir).select(F.substring("seq", 1, 7).alias("seq")).groupBy("seq").agg(F.count("*").alias("weight"))
-    coded = objects.withColumn("id", F.conv(F.translate("seq", "AGCT", "0123"), 4, 10).cast("long"))
+    """Objects are distinct reads, weighted by how often they occur; a read of 32 letters fills the 64 bits of its id."""
+    objects = reads(spark, sf_dir).select("seq").groupBy("seq").agg(F.count("*").alias("weight"))
+    coded = objects.withColumn("id", F.conv(F.translate("seq", "AGCT", "0123"), 4, -10).cast("long"))
     return cl.cluster(coded, cl.ClusteringStrategy(fz.SearchLimits(1, 0, 0, 1), max_depth=2))

@@ -185,6 +185,13 @@ def test_brute_force_in_blocks_finds_what_one_block_finds(spark, ties):
     assert whole and sorted(whole) == sorted(blocks)
 
 
+def test_cluster_query_takes_whole_reads(spark, tmp_path):
+    """Every distinct read is an object of its own, though more reads than prefixes of 7 letters."""
+    spark.range(20000).selectExpr("id AS doc_id", "concat('text ', id % 17000) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["cluster"](spark, str(tmp_path)).collect()
+    assert len(got) == len({r.id for r in got}) == 17000 > 4**7 and None not in {r.id for r in got}
+
+
 def test_merge_strategy():
     whole, part, other = flow.Key("s", frozenset({("s", 0, 10)})), flow.Key("p", frozenset({("s", 2, 5)})), flow.Key("o")
     assert part.relation(whole) is flow.Relation.NECESSARY and whole.relation(part) is flow.Relation.SUFFICIENT
