@@ -1,7 +1,7 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
 The corpus is its own reference, cut into blocks of whole documents.  A document is factored greedily
-against every indexed block: a factor is a longest stretch of it whose windows of `window` words occur
+against the block that it is read in, and across blocks equal windows are joined by hash: a factor is a longest stretch of it whose windows of `window` words occur
 in step in one earlier place (smaller doc_id, or same document and earlier start).  Factors begin and end
 at word borders; the windows across a factor's border are looked up on their own, since the greedy match
 says nothing about them.  All windows that have an earlier copy are covered by factors, so the words to
