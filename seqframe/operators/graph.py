@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
 from .storage import Stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, root), root the smallest node reachable; nodes without edges are absent.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a partial aggregate
-    and a join, its edges are written to the shared folder, and no node's neighbours are gathered in one place.
+    Alternating large-star and small-star steps (Kiveris et al., 2014).  Each step takes each node's least neighbour by a partial
+    aggregate and hands it to the node's edges; edges of hubs get it by a broadcast of bounded size, so that no hub's edges are
+    gathered in one task.  Edges are written to the shared folder after each step.
     """
     now = Stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
     sign = None
     while True:
         both = now.df.union(now.df.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        one = Stored(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
-        least = one.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = one.df.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct()
-        two = Stored(small, "small")
+        low = Stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "low")
+        one = Stored(join_unique(both, low.df, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
+        least = Stored(one.df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        down = join_unique(one.df, least.df, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        two = Stored(down.union(least.df.select("u", "m")).distinct(), "small")
         row = two.df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
-        now.drop()
-        one.drop()
+        for t in (now, low, one, least):
+            t.drop()
         now, before, sign = two, sign, (row["n"], row["h"])
         if sign == before or not row["n"]:
             stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -13,10 +13,13 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, with its scheme, or, where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, with its scheme; where that is unset, a temporary one, which only a local master may use."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqframe-shared-")
+        at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+        at = at or tempfile.mkdtemp(prefix="seqframe-shared-")
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
         _folders[app] = f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
