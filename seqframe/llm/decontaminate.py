@@ -10,15 +10,19 @@ located from the sampled positions, and their word ranges are merged into remova
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import Stored, without_ids
+from .shared import Stored
 
 SAMPLE_STEP = 8
+#: Text of a shard; a longer document is a shard of its own.
+SHARD_BYTES = 4 << 20
 
 
 class WaveletTree:
@@ -186,7 +190,7 @@ def occurrences(words: tc.Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(batches, phrases: Phrases, keep: list[str]):
-    for block in tc.blocks(batches, "text", 4 << 20):
+    for block in tc.blocks(batches, "text", SHARD_BYTES):
         words = tc.alnum_words(block.column("text"))
         place, which = occurrences(words, phrases)
         doc = np.searchsorted(words.first, place, side="right") - 1
@@ -209,44 +213,52 @@ def _scan(batches, phrases: Phrases, keep: list[str]):
         yield pa.record_batch([block.column(c) for c in keep] + extra, names=[*keep, "n_words", "n_hit", "items", "spans"])
 
 
-def _marks(docs: DataFrame, items: list, window: int) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<first_word:int,end_word:int,start_byte:int,end_byte:int>>"
-    return docs.mapInArrow(lambda it: _scan(it, phrases.value, ["doc_id"]), schema)
+def _blocks(benchmark: DataFrame, block_chars: int, item_text: str, item_key: str) -> Iterator[list]:
+    """The test items in blocks of at most block_chars characters, or of one longer item; at least one block."""
+    batch, size = [], 0
+    for r in benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
+        n = len(r["t"] or "")
+        if batch and size + n > block_chars:
+            yield batch
+            batch, size = [], 0
+        batch.append((r["i"], r["t"]))
+        size += n
+    yield batch
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4 << 20, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, items (ids as strings, sorted), spans (word and byte ranges to remove).
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.  Null and empty texts have no words and no hits;
-    items without words match nothing; items that repeat a text are all named.  Empty tables give no rows, or rows without
-    hits; other columns are ignored.  The benchmark is taken in blocks of at most block_chars characters (an item longer than
-    that is a block of its own), one broadcast and one pass over docs each, so that no broadcast grows with its size; with more
-    than one block, rows that repeat a doc_id become one.
+    items without words match nothing; items that repeat a text are all named.  Rows that repeat a doc_id, and rows without one, stand
+    for themselves.  Empty tables give no rows, or rows without hits; other columns are ignored.  The benchmark is taken in blocks of at
+    most block_chars characters (an item longer than that is a block of its own), one broadcast and one pass over docs each, so that no
+    broadcast grows with its size; the passes' marks meet by doc_id and a hash of the text, and give the same rows as one pass would.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    passes, batch, size = [], [], 0
-    rows = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).toLocalIterator()
-    for r in rows:
-        n = len(r["t"] or "")
-        if batch and size + n > block_chars:
-            passes.append(_marks(docs, batch, window))
-            batch, size = [], 0
-        batch.append((r["i"], r["t"]))
-        size += n
-    passes.append(_marks(docs, batch, window))
+    spark, passes = docs.sparkSession, []
+    spans = "array<struct<first_word:int,end_word:int,start_byte:int,end_byte:int>>"
+    for block in _blocks(benchmark, block_chars, item_text, item_key):
+        phrases = spark.sparkContext.broadcast(Phrases(block, window))
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_words long, n_hit long, items array<string>, spans {spans}"
+        passes.append(keyed.mapInArrow(lambda it, p=phrases: _scan(it, p.value, ["doc_id", "h"]), schema))
     if len(passes) == 1:
-        return passes[0]
+        return passes[0].drop("h")
     return _merged(passes)
 
 
 def _merged(passes: list[DataFrame]) -> DataFrame:
-    """Marks of several blocks of the benchmark, by document: items united, overlapping spans joined."""
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    out = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans"))
+    """Marks of several blocks of the benchmark: items united, overlapping spans joined.
+
+    Rows of one doc_id and text have one pass's marks in common, so each pass sends one of them and their number.
+    """
+    every = None
+    for p in passes:
+        one = p.groupBy("doc_id", "h").agg(F.count("*").alias("rows"), F.first("n_words").alias("n_words"), F.first("items").alias("items"), F.first("spans").alias("spans"))
+        every = one if every is None else every.unionByName(one)
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))  # of as many rows as there are passes
+    out = every.groupBy("doc_id", "h").agg(F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans"))
     joined = F.expr(
         "aggregate(spans, cast(array() as array<struct<first_word:int,end_word:int,start_byte:int,end_byte:int>>), (acc, s) -> "
         "CASE WHEN size(acc) > 0 AND element_at(acc, -1).end_word >= s.first_word THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct("
@@ -254,7 +266,7 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
         "'start_byte', element_at(acc, -1).start_byte, 'end_byte', greatest(element_at(acc, -1).end_byte, s.end_byte)))) "
         "ELSE concat(acc, array(s)) END)"
     )
-    out = out.withColumn("spans", joined)
+    out = out.withColumn("spans", joined).withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
     return out.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end_word - s.first_word)").alias("n_hit"), "items", "spans")
 
 
@@ -262,7 +274,26 @@ def digest_items(marks: DataFrame) -> DataFrame:
     return marks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a window of a benchmark item; its own columns."""
-    marked = Stored(mark_contamination(docs, benchmark).filter("n_hit > 0").select("doc_id"), "contaminated")
-    return without_ids(docs, marked.df)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4 << 20, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """docs without the rows whose text holds a window of a benchmark item; its own columns.
+
+    Each row is judged by its own text in the task that reads it, block of the benchmark after block, so nothing is joined and doc_ids
+    don't matter.  Null and empty texts stay, as do all texts if the benchmark is empty; repeated rows share their fate, columns of any
+    name pass through, an empty table gives no rows.
+    """
+    sc, schema = docs.sparkSession.sparkContext, docs.schema
+    for i, block in enumerate(_blocks(benchmark, block_chars, item_text, item_key)):
+        if i:  # one pass at a time, so that a task holds one block's phrases
+            docs = Stored(docs, "clean").df
+        phrases = sc.broadcast(Phrases(block, window))
+
+        def keep(batches, phrases=phrases):
+            for part in tc.blocks(batches, text, SHARD_BYTES):
+                words = tc.alnum_words(part.column(text))
+                place, _ = occurrences(words, phrases.value)
+                clean = np.ones(part.num_rows, dtype=bool)
+                clean[np.searchsorted(words.first, place, side="right") - 1] = False
+                yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, schema)
+    return docs

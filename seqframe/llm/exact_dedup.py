@@ -2,30 +2,41 @@
 
 One scan takes each text's length and the hash of its first characters into a narrow table; the
 groups are refined on that table alone.  A second scan hashes the full content of the rows whose
-(length, prefix) is shared, as told by a bitmap of fixed size.  Copies are counted by partial
-aggregates, so a group that holds a third of all rows is one row a task before the shuffle.
+(length, prefix) is shared, as told by a bitmap of bounded size.  Copies are counted by partial
+aggregates, so a group that holds a third of all rows is one row a task before the shuffle, and a
+group's keeper reaches its rows without gathering them.  Built-in functions alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stored, bitmap, maybe_in, with_maybe, without_ids
+from .shared import ROW, Stored, bitmap, bits_for, join_unique, keep_best, with_maybe, with_row_keys
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _digests(batches, everything: bool):
-    for batch in batches:
-        text, hit = batch.column("text").cast(pa.large_binary()), batch.column("hit")
-        out = []
-        for t, h in zip(text, hit, strict=True):
-            out.append(hashlib.sha256((t.as_py() or b"").lower()).digest() if everything or h.as_py() else None)  # bytes.lower() maps A-Z only
-        yield pa.record_batch([batch.column("doc_id"), hit, pa.array(out, pa.binary())], names=["doc_id", "hit", "digest"])
+def _lower(text: Column) -> Column:
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def _digests(rows: DataFrame, prefix_chars: int, digest_all: bool) -> Stored:
+    """rows (with `__text`) without their text, but with hit (other rows share length and prefix) and digest (of hits, or of all)."""
+    whole = F.coalesce(F.col("__text"), F.lit(""))
+    shape = {"__size": F.octet_length(whole).cast("long"), "__head": F.xxhash64(_lower(F.substring(whole, 1, prefix_chars)))}
+    keys = Stored(rows.select(*[c.alias(n) for n, c in shape.items()]), "shapes")
+    lengths = Stored(keys.df.groupBy("__size").agg(F.count("*").alias("n")).filter("n > 1").select("__size"), "lengths")
+    bits = bits_for(lengths.df.count())
+    shared = with_maybe(keys.df, bitmap(lengths.df, "__size", bits=bits), "__size", bits=bits).filter("maybe")
+    heads = Stored(shared.groupBy("__size", "__head").agg(F.count("*").alias("n")).filter("n > 1").select("__size", "__head"), "heads")
+    bits = bits_for(heads.df.count())
+    marked = with_maybe(rows.withColumns(shape), bitmap(heads.df, "__size", "__head", bits=bits), "__size", "__head", bits=bits, name="hit")
+    digest = F.unhex(F.sha2(_lower(whole), 256))
+    full = Stored(marked.withColumn("digest", digest if digest_all else F.when(F.col("hit"), digest)).drop("__text", *shape), "digests")
+    for t in (keys, lengths, heads):
+        t.drop()
+    return full
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
@@ -37,25 +48,21 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", prefix
     table gives no rows; other columns are ignored.  digest: SHA-256 of the lower-cased text, null
     for rows that an earlier level found unique unless digest_all.
     """
-    head = F.translate(F.substring(F.coalesce(F.col(text), F.lit("")), 1, prefix_chars), _UPPER, _LOWER)
-    shape = {"size": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"), "head": F.xxhash64(head)}
-    keys = Stored(docs.select(*[c.alias(n) for n, c in shape.items()]), "shapes")
-    lengths = keys.df.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1")
-    heads = maybe_in(keys.df, bitmap(lengths, "size"), "size").groupBy("size", "head").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[c.alias(n) for n, c in shape.items()])
-    rows = with_maybe(rows, bitmap(heads, "size", "head"), "size", "head", name="hit").select("doc_id", "text", "hit")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    full = Stored(rows.mapInArrow(lambda it: _digests(it, digest_all), f"doc_id {id_type}, hit boolean, digest binary"), "digests")
-    keys.drop()
-    copies = full.df.filter("hit").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
-    joined = full.df.filter("hit").join(copies, "digest", "left")
+    full = _digests(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text")), prefix_chars, digest_all)
+    copies = Stored(full.df.filter("hit").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    joined = join_unique(full.df.filter("hit"), copies.df, "digest", "n", "left")
     alone = full.df.filter("NOT hit").select("digest", "doc_id", "hit", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
     out = joined.unionByName(alone)
     keep = F.when(F.coalesce("n", F.lit(1)) > 1, F.col("keep_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest")
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies: its own columns, one row for each distinct text (see exact_dedup)."""
-    out = exact_dedup(docs)
-    return without_ids(docs, out.filter("NOT kept").select("doc_id"))
+def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row for each distinct text (after lower-casing A-Z): the one with the largest doc_id; its own columns.
+
+    Null counts as the empty text, so of null and empty texts one row stays in all.  Null doc_ids lose to any other.  Rows that
+    share text and doc_id are told apart by their other columns (the larger hash stays), and of rows equal in all columns one stays.
+    An empty table gives no rows; columns of any name pass through.
+    """
+    full = _digests(with_row_keys(docs).select(*ROW, F.col(key).alias("__id"), F.col(text).alias("__text")), 64, False)
+    return keep_best(docs, full.df.filter("hit").select(F.col("digest").alias("group"), *ROW, "__id"), ["__id"])

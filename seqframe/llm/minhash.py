@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import Stored, bitmap, components, maybe_in, without_ids
+from .shared import ROW, Stored, bitmap, components, join_unique, keep_best, maybe_in, with_membership, with_row_keys
 
 _SEEDS = tc.mix64(np.arange(1, 4097, dtype=tc.U64) * tc.U64(0x9E3779B97F4A7C15))
 
@@ -213,6 +213,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component (five-word shingles, similarity 0.8 or more); its own columns."""
-    return without_ids(docs, near_duplicates(docs).filter("NOT kept").select("doc_id"))
+def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one document of each component (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id; its own columns.
+
+    Rows are told apart by a hash of all their columns, not by doc_id: rows without a doc_id take part and go before any other stays.
+    Rows that share a doc_id are told apart by the rest, and of rows equal in all columns one stays if they have shingles.  Null, empty
+    and blank texts are near to nothing and all stay.  An empty table gives no rows; columns of any name pass through.
+    """
+    rows = with_row_keys(docs)
+    ids = rows.select(*ROW, F.col(key).alias("__id"))
+    found = near_duplicates(rows.select(F.col(ROW[0]).alias("doc_id"), F.col(text).alias("text")), shingle, percent)
+    found = Stored(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("group"), F.count("*").alias("n")), "near")
+    # components of one node that one row bears have nothing to drop
+    sizes = Stored(found.df.groupBy("group").agg(F.sum("n").alias("n")).filter("n > 1"), "sizes")
+    members = Stored(join_unique(found.df.select("doc_id", "group"), sizes.df, "group", "n").select(F.col("doc_id").alias(ROW[0]), "group"), "kin")
+    grouped = with_membership(ids, members.df, ROW[0], "__kin").filter("__kin").drop("__kin").join(members.df, ROW[0])
+    groups = Stored(grouped.select("group", *ROW, F.col("__id").isNotNull().alias("__some"), (-F.col("__id")).alias("__low")), "groups")
+    return keep_best(docs, groups.df, ["__some", "__low"])

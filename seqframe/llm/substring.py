@@ -1,21 +1,21 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The corpus is its own reference, cut into blocks of whole documents.  A document is factored greedily
-against the block that it is read in, and across blocks equal windows are joined by hash: a factor is a longest stretch of it whose windows of `window` words occur
-in step in one earlier place (smaller doc_id, or same document and earlier start).  Factors begin and end
-at word borders; the windows across a factor's border are looked up on their own, since the greedy match
-says nothing about them.  All windows that have an earlier copy are covered by factors, so the words to
-remove are exactly the words of factors.
-
-Looking up every window of a corpus would shuffle it many times over, so the index is sampled by content:
-among the `gram`-word grams of a window the one with the smallest hash is its anchor.  Equal windows have
-equal anchors, and neighbouring windows share them (about two for every 15 words).
-
-1. Anchors are counted; those that occur once are dropped by a bitmap of fixed size.
-2. A task indexes its block and factors the block's documents against it.  Only the first copy of a window in
-   the block, and only windows with a repeated anchor, leave the task: a passage that all documents share is one row a block.
-3. Windows meet by anchor; a stream over the sorted rows keeps the first place of each window and tells the others.
-4. Spans are joined by document, and kept words are hashed.
+The corpus is its own reference, cut into blocks.  A text's symbols are its windows of `window` words, one for each word that a
+window starts at, so a match of n symbols is a match of n + window - 1 words, and shorter ones don't show.  A block is
+indexed by a suffix array over the symbols, and its documents are parsed against it greedily: a factor is the longest stretch that
+also starts at an earlier place (smaller doc_id, or same document and earlier start), found between a suffix's nearest earlier
+neighbours on both sides in the array.  The parse goes on with the first window that the factor doesn't hold whole, so the windows
+across a factor's border are looked up like all others.  The words of factors are the words to remove.
+
+1. A task parses each block of documents that it reads against that block.  Only the first copy of a window in the block
+   goes on, so a passage that all documents share is one row a block.
+2. What goes on is parsed against reference blocks made of other blocks' first copies.  A document meets those that can
+   match it, and no others: among the `gram`-word grams of a window the one with the smallest hash is its anchor, equal windows
+   have equal anchors, and a stretch of windows goes to the block of its anchor.  Anchors that the corpus holds once go nowhere
+   (told by a bitmap of bounded size).  A stretch under an anchor that it holds more than `hot` times goes window by window,
+   first to blocks by window and salt and from there, one row a salt, to the block of the window; so no block grows
+   beyond hot stretches of one anchor or the copies of one window, which are dropped as they are met.
+3. Spans are joined by doc_id and a hash of the text, and kept words are hashed.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import Stored, bitmap, maybe_in
+from .shared import Stored, bits_for, bitmap, with_maybe
 
 BLOCK_BYTES = 4 << 20
+#: Windows that a reference block of the second parse is filled up to; salts of a hot window; the widest bitmap of anchors (8 MB).
+REFERENCE_WINDOWS, SALTS, MAX_BITS = 1 << 18, 64, 26
+_SPREAD = tc.U64(0x9E3779B97F4A7C15)
 
 
 def window_anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +49,112 @@ def window_anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarra
     return tc.window_hashes(words, window), low
 
 
+def _nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one to its left with a smaller value, or -1, by jumps over places known to be no smaller."""
+    cur = np.arange(len(values)) - 1
+    todo = np.arange(len(values))
+    while len(todo):
+        at = cur[todo]
+        todo = todo[(at >= 0) & (values[np.maximum(at, 0)] >= values[todo])]
+        cur[todo] = cur[cur[todo]]
+    return cur
+
+
+class SuffixArray:
+    """Suffixes of a sequence of symbols in order, with ranks by their first 1, 2, 4, ... symbols."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.n = n = len(symbols)
+        found, rank = np.unique(symbols, return_inverse=True)
+        self.ranks, width = [rank], 1
+        while len(found) < n:
+            after = np.zeros(n, dtype=np.int64)
+            after[: n - width] = rank[width:] + 1
+            found, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
+            self.ranks.append(rank)
+            width *= 2
+        self.order = np.empty(n, dtype=np.int64)
+        self.order[rank] = np.arange(n)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at a[i] and b[i] have in common; 0 where b[i] is -1."""
+        a, b, total = a.copy(), b.copy(), np.zeros(len(a), dtype=np.int64)
+        live = np.flatnonzero(b >= 0)
+        for level in range(len(self.ranks) - 1, -1, -1):
+            live = live[(a[live] < self.n) & (b[live] < self.n)]
+            same = live[self.ranks[level][a[live]] == self.ranks[level][b[live]]]
+            a[same] += 1 << level
+            b[same] += 1 << level
+            total[same] += 1 << level
+        return total
+
+    def longest_earlier(self, when: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place) of the longest match of each suffix among those with a smaller `when`; 0 and -1 without one."""
+        sides = []
+        for row in (self.order, self.order[::-1]):
+            near = _nearest_smaller(when[row])
+            place = np.empty(self.n, dtype=np.int64)
+            place[row] = np.where(near >= 0, row[np.maximum(near, 0)], -1)
+            sides.append((self.common(np.arange(self.n), place), place))
+        (one, at_one), (two, at_two) = sides
+        length = np.maximum(one, two)
+        return length, np.where(length == 0, -1, np.where(one >= two, at_one, at_two))
+
+
+def greedy(length: np.ndarray) -> np.ndarray:
+    """First places of the factors of a greedy parse, given the longest match at each place; places without one are literals."""
+    some = np.flatnonzero(length)
+    out, at = [], 0
+    while True:
+        k = int(np.searchsorted(some, at))
+        if k == len(some):
+            return np.array(out, dtype=np.int64)
+        out.append(int(some[k]))
+        at = out[-1] + int(length[out[-1]])
+
+
+def parse(windows: np.ndarray, text: np.ndarray, start: np.ndarray, when: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of texts against the block that they are in: (rows where a factor starts, its windows, rows of its source), and which rows are of a factor.
+
+    A row is a window: its hash, its text, its start there, and when it stands (ties: neither is earlier).  Rows of a text
+    come in order of start.  Windows that the block holds once match nothing and are left out of the index.
+    """
+    n = len(windows)
+    none = np.zeros(0, dtype=np.int64)
+    found, symbol, count = np.unique(windows, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(count[symbol] > 1)
+    if not len(at):
+        return none, none, none, np.zeros(n, dtype=bool)
+    ends = np.ones(len(at), dtype=bool)  # a separator, like no other, follows each stretch
+    ends[:-1] = (np.diff(at) != 1) | (text[at[1:]] != text[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1)
+    to = np.arange(len(at)) + np.cumsum(ends) - ends
+    size = len(at) + int(ends.sum())
+    symbols, times = len(found) + np.arange(size), np.full(size, np.iinfo(np.int64).max)
+    symbols[to], times[to] = symbol[at], when[at]
+    length, source = SuffixArray(symbols).longest_earlier(times)
+    begin = greedy(length)
+    back = np.full(size, -1)
+    back[to] = at
+    covered = np.zeros(n, dtype=bool)
+    covered[back[to[length[to] > 0]]] = True
+    return back[begin], length[begin], back[source[begin]], covered
+
+
+def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Dense ranks of the pairs (first, second), equal pairs alike."""
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    spot = (keys * _SPREAD) >> tc.U64(64 - 3 - int(len(flags)).bit_length() + 1)
+    return (flags[(spot >> tc.U64(3)).astype(np.int64)] >> (spot & tc.U64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Block:
     """The windows of a block of documents: hash, anchor, document row, start (in words)."""
 
@@ -74,69 +183,7 @@ def _anchor_counts(batches, window: int, gram: int):
             new = np.ones(len(block.anchor), dtype=bool)
             new[1:] = (block.anchor[1:] != block.anchor[:-1]) | (block.doc[1:] != block.doc[:-1])
             anchors, counts = np.unique(block.anchor[new], return_counts=True)
-            yield pa.record_batch([pa.array(tc.signed(anchors)), pa.array(np.minimum(counts, 2).astype(np.int8))], names=["anchor", "n"])
-
-
-def factors(source: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, source place) of one document, given for each window the place of its earlier copy, or -1.
-
-    Places count words over the whole block.  A factor grows while the next window's copy is the next place; the window
-    after a border starts a factor of its own if it has a copy.
-    """
-    found = np.flatnonzero(source >= 0)
-    if not len(found):
-        return []
-    cut = np.flatnonzero((np.diff(found) != 1) | (np.diff(source[found]) != 1)) + 1
-    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(found)]])
-    return [(int(found[b]), int(found[e - 1] - found[b]) + window, int(source[found[b]])) for b, e in zip(begin, end, strict=True)]
-
-
-def _first_copies(hash_: np.ndarray, doc_key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window whether an equal one lies earlier, and the row of the earliest."""
-    order = np.lexsort((start, doc_key, hash_))
-    ordered = hash_[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    first = np.empty(len(order), dtype=np.int64)
-    first[order] = head
-    return first != np.arange(len(order)), first
-
-
-def _factor_blocks(batches, window: int, gram: int, flags: np.ndarray | None, bits: int):
-    """Rows of kind 'span' (factors found within the block) and 'window' (first copies that may occur elsewhere)."""
-    for part in tc.blocks(batches, "text", BLOCK_BYTES):
-        block = Block(part, window, gram)
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-        rows_anchor, rows_doc, rows_start, rows_items = [], [], [], []
-        if len(block.hash):
-            later, first = _first_copies(block.hash, ids[block.doc], block.start)
-            place = block.words.first[block.doc] + block.start
-            source = np.where(later, place[first], -1)
-            for d in np.unique(block.doc[later]).tolist():
-                mine = slice(*np.searchsorted(block.doc, [d, d + 1]))
-                spans = np.array([(s, s + n) for s, n, _ in factors(source[mine], window)], dtype=np.int32)
-                rows_anchor.append(None)
-                rows_doc.append(ids[d])
-                rows_start.append(0)
-                rows_items.append(_joined(spans).tobytes())
-            fresh = ~later
-            if flags is not None:
-                key = (block.anchor * tc.U64(0x9E3779B97F4A7C15)) >> tc.U64(64 - bits)
-                fresh &= (flags[(key >> tc.U64(3)).astype(np.int64)] >> (key & tc.U64(7)).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(fresh)
-            if len(at):
-                run = np.ones(len(at), dtype=bool)  # one row for each run of neighbouring windows with one anchor
-                run[1:] = (np.diff(at) != 1) | (block.anchor[at[1:]] != block.anchor[at[:-1]]) | (block.doc[at[1:]] != block.doc[at[:-1]])
-                begin = np.flatnonzero(run)
-                end = np.append(begin[1:], len(at))
-                body = block.hash[at].tobytes()
-                rows_anchor += tc.signed(block.anchor[at[begin]]).tolist()
-                rows_doc += ids[block.doc[at[begin]]].tolist()
-                rows_start += block.start[at[begin]].tolist()
-                rows_items += [body[8 * b : 8 * e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-        if rows_doc:
-            yield pa.record_batch([pa.array(rows_anchor, pa.int64()), pa.array(rows_doc, pa.int64()), pa.array(rows_start, pa.int32()), pa.array(rows_items, pa.binary())], names=["anchor", "doc_id", "start", "items"])
+            yield pa.record_batch([pa.array(tc.signed(anchors)), pa.array(counts)], names=["anchor", "n"])
 
 
 def _joined(spans: np.ndarray) -> np.ndarray:
@@ -151,26 +198,116 @@ def _joined(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[begin, 0], np.maximum.reduceat(spans[:, 1], begin)], axis=1).astype(np.int32)
 
 
-def _meet(batches, window: int):
-    """Rows sorted by anchor, doc_id, start: the spans of windows that the rows before hold.
+ROWS = "route long, salt int, doc_id long, h long, start int, items binary"
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-    State: the window hashes seen under the present anchor, which a window's first row brings in; a row
-    of another block that repeats them adds none.
-    """
-    anchor, seen = None, set()
+
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=["route", "salt", "doc_id", "h", "start", "items"])
+
+
+def _span_rows(out: list[list], texts: np.ndarray, begin: np.ndarray, words: np.ndarray, ids: np.ndarray, h: np.ndarray) -> None:
+    """Appends a row without a route for each text: the spans of its factors."""
+    for t in np.unique(texts).tolist():
+        mine = texts == t
+        spans = np.stack([begin[mine], begin[mine] + words[mine]], axis=1).astype(np.int32)
+        for column, x in zip(out, (None, 0, int(ids[t]), int(h[t]), 0, _joined(spans).tobytes()), strict=True):
+            column.append(x)
+
+
+def _parse_blocks(batches, window: int, gram: int, again: np.ndarray, hot: np.ndarray):
+    """Rows without a route: spans of factors within the block.  Rows with one: stretches of first copies that may occur elsewhere."""
+    for part in tc.blocks(batches, "text", BLOCK_BYTES):
+        block = Block(part, window, gram)
+        if not len(block.hash):
+            continue
+        ids, h = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
+        begin, length, _, covered = parse(block.hash, block.doc, block.start, _ranks(ids[block.doc], block.start))
+        out: list[list] = [[] for _ in _KINDS]
+        _span_rows(out, block.doc[begin], block.start[begin], length + window - 1, ids, h)
+        at = np.flatnonzero(~covered & _flagged(again, block.anchor))
+        if len(at):
+            alone = _flagged(hot, block.anchor[at])
+            new = np.ones(len(at), dtype=bool)  # a row for each run of neighbouring windows with one anchor, or for each window
+            new[1:] = (np.diff(at) != 1) | (block.anchor[at[1:]] != block.anchor[at[:-1]]) | (block.doc[at[1:]] != block.doc[at[:-1]]) | alone[1:]
+            first = np.flatnonzero(new)
+            cuts = np.append(first, len(at)).tolist()
+            route = np.where(alone[first], block.hash[at[first]] * _SPREAD, block.anchor[at[first]])
+            salt = np.where(alone[first], 1 + (ids[block.doc[at[first]]].view(tc.U64) * _SPREAD >> tc.U64(33)).astype(np.int64) % SALTS, 0)
+            body = block.hash[at].tobytes()
+            out[0] += tc.signed(route).tolist()
+            out[1] += salt.tolist()
+            out[2] += ids[block.doc[at[first]]].tolist()
+            out[3] += h[block.doc[at[first]]].tolist()
+            out[4] += block.start[at[first]].tolist()
+            out[5] += [body[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if out[0]:
+            yield _batch(out)
+
+
+class Reference:
+    """The stretches of one or more whole routes, and of a route that goes on the first copies met so far."""
+
+    def __init__(self, window: int):
+        self.window, self.rows, self.held = window, [], 0
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        self.held += len(row[5]) // 8
+
+    def parsed(self, out: list[list], known: int) -> list[tuple]:
+        """Parses the rows but the first `known`, which are there as a source only; returns the rows with windows that stand nowhere earlier."""
+        body = np.frombuffer(b"".join(r[5] for r in self.rows), dtype=tc.U64)
+        sizes = np.array([len(r[5]) // 8 for r in self.rows])
+        text = np.repeat(np.arange(len(self.rows)), sizes)
+        ids, h, start = (np.array([r[c] for r in self.rows], dtype=np.int64) for c in (2, 3, 4))
+        at = start[text] + np.arange(len(body)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        begin, length, _, covered = parse(body, text, at, _ranks(ids[text], at))
+        mine = text[begin] >= known
+        begin, length = begin[mine], length[mine]
+        _span_rows(out, text[begin], at[begin], length + self.window - 1, ids, h)
+        fresh = np.unique(text[~covered])
+        rows, self.rows, self.held = [self.rows[i] for i in fresh.tolist()], [], 0
+        return rows
+
+
+def _meet(batches, window: int, size: int):
+    """Rows sorted by route, salt, doc_id, start: spans, and of salted routes the rows with first copies, for the next meeting."""
+    block, route, known = Reference(window), None, 0
     for batch in batches:
-        docs, starts, spans = [], [], []
-        keys, ids, at, items = (batch.column(n) for n in ("anchor", "doc_id", "start", "items"))
-        for key, doc, start, body in zip(keys.to_pylist(), ids.to_pylist(), at.to_pylist(), items.to_pylist(), strict=True):
-            if key != anchor:
-                anchor, seen = key, set()
-            known = [body[i : i + 8] in seen for i in range(0, len(body), 8)]
-            if any(known):
-                docs.append(doc)
-                spans.append(_joined(np.array([(start + i, start + i + window) for i, k in enumerate(known) if k], dtype=np.int32)).tobytes())
-            if not all(known):
-                seen.update(body[i : i + 8] for i in range(0, len(body), 8))
-        yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(spans, pa.binary())], names=["doc_id", "spans"])
+        out: list[list] = [[] for _ in _KINDS]
+
+        def flush(goes_on: bool, out=out):
+            nonlocal known
+            fresh = block.parsed(out, known) if block.rows else []
+            for r in fresh if not goes_on else ():
+                if r[1]:
+                    for column, x in zip(out, (r[0], 0, *r[2:]), strict=True):
+                        column.append(x)
+            known = 0
+            if goes_on:
+                for r in fresh:
+                    if r[:2] == route:
+                        block.add(r)
+                    elif r[1]:
+                        for column, x in zip(out, (r[0], 0, *r[2:]), strict=True):
+                            column.append(x)
+                known = len(block.rows)
+
+        for row in zip(*(batch.column(c).to_pylist() for c in ("route", "salt", "doc_id", "h", "start", "items")), strict=True):
+            if block.held >= size:
+                flush(row[:2] == route)
+            route = row[:2]
+            block.add(row)
+        yield _batch(out)
+    out = [[] for _ in _KINDS]
+    if block.rows:
+        for r in block.parsed(out, known):
+            if r[1]:
+                for column, x in zip(out, (r[0], 0, *r[2:]), strict=True):
+                    column.append(x)
+    yield _batch(out)
+    tc.give_back()
 
 
 def _cut(batches):
@@ -194,48 +331,60 @@ def _cut(batches):
         yield pa.record_batch([block.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(merged, kind)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
 
-def _repeated_anchors(base: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits (its size is fixed) of the anchors that occur twice or more."""
-    counts = base.mapInArrow(lambda it: _anchor_counts(it, window, gram), "anchor long, n byte")
-    again = counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits of the column `anchor`."""
 
     def pack(batches):
         flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
         for b in batches:
-            key = (b.column("anchor").to_numpy(zero_copy_only=False).view(tc.U64) * tc.U64(0x9E3779B97F4A7C15)) >> tc.U64(64 - bits)
-            np.bitwise_or.at(flags, (key >> tc.U64(3)).astype(np.int64), np.left_shift(np.uint8(1), (key & tc.U64(7)).astype(np.uint8)))
+            spot = (b.column("anchor").to_numpy(zero_copy_only=False).view(tc.U64) * _SPREAD) >> tc.U64(64 - bits)
+            np.bitwise_or.at(flags, (spot >> tc.U64(3)).astype(np.int64), np.left_shift(np.uint8(1), (spot & tc.U64(7)).astype(np.uint8)))
         words = flags.view(np.int64)
         at = np.flatnonzero(words)
         yield pa.record_batch([pa.array(at), pa.array(words[at])], names=["word", "flags"])
 
-    packed = again.select("anchor").mapInArrow(pack, "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags"))
     flags = np.zeros(1 << (bits - 6), dtype=np.int64)
-    table = packed.toArrow()
+    table = keys.select("anchor").mapInArrow(pack, "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()
     flags[table.column("word").to_numpy()] = table.column("flags").to_numpy()
     return flags.view(np.uint8)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 7, bits: int = 26, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _anchors(base: DataFrame, window: int, gram: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the anchors that occur twice or more, and of those that occur more than `hot` times: 16 bits a key, 8 MB at most."""
+    counts = base.mapInArrow(lambda it: _anchor_counts(it, window, gram), "anchor long, n long")
+    again = Stored(counts.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
+    n, n_hot = again.df.agg(F.count("*"), F.count_if("hot")).first()
+    out = tuple(_bitmap(df, min(MAX_BITS, max(bits_for(m), (16 * m).bit_length()))) for df, m in ((again.df, n), (again.df.filter("hot"), n_hot)))
+    again.drop()
+    return out
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 7, hot: int = 1024, text: str = "text", key: str = "doc_id", reference_windows: int = REFERENCE_WINDOWS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (word ranges removed).
 
     Words are runs of other bytes than ASCII white space, unchanged.  A word goes if a window of `window` words
     that covers it also starts earlier; windows are judged on the input.  Null, empty and short texts have no windows
-    and lose nothing; of equal texts the smallest doc_id stays whole.  doc_id must be an integer and unique: rows
-    that repeat one share the spans of all of them, and rows without one keep all words.  An empty table gives no rows;
-    other columns are ignored.  Words and windows are compared by 64-bit hashes.
+    and lose nothing; of equal texts the smallest doc_id stays whole.  doc_id must be an integer.  Rows that repeat a doc_id count as
+    one document: of equal windows those at its smallest start stay in all of them, so rows that repeat doc_id and text all stay.
+    Rows without a doc_id keep all words and are no one's source.  An empty table gives no rows; other columns are ignored.  Words and
+    windows are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sc = docs.sparkSession.sparkContext
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     named = base.filter("doc_id IS NOT NULL")
-    flags = spark.sparkContext.broadcast(_repeated_anchors(named, window, gram, bits))
-    rows = Stored(named.mapInArrow(lambda it: _factor_blocks(it, window, gram, flags.value, bits), "anchor long, doc_id long, start int, items binary"), "windows")
-    inner = rows.df.filter("anchor IS NULL").select("doc_id", F.col("items").alias("spans"))
-    outer = rows.df.filter("anchor IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    outer = outer.mapInArrow(lambda it: _meet(it, window), "doc_id long, spans binary")
-    spans = Stored(inner.unionByName(outer).groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
+    again, often = map(sc.broadcast, _anchors(named, window, gram, hot))
+    rows = Stored(named.mapInArrow(lambda it: _parse_blocks(it, window, gram, again.value, often.value), ROWS), "stretches")
+    first = rows.df.filter("route IS NOT NULL").repartition("route", "salt").sortWithinPartitions("route", "salt", "doc_id", "start")
+    met = Stored(first.mapInArrow(lambda it: _meet(it, window, reference_windows), ROWS), "met")
+    second = met.df.filter("route IS NOT NULL").repartition("route").sortWithinPartitions("route", "doc_id", "start")
+    second = second.mapInArrow(lambda it: _meet(it, window, reference_windows), ROWS)
+    every = rows.df.filter("route IS NULL").unionByName(met.df.filter("route IS NULL")).unionByName(second)
+    spans = Stored(every.groupBy("doc_id", "h").agg(F.collect_set("items").alias("spans")), "spans")
     rows.drop()
+    met.drop()
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
-    marked = bitmap(spans.df, "doc_id")
-    whole = maybe_in(base, marked, "doc_id", keep=False).mapInArrow(_cut, schema)
-    cut = maybe_in(base, marked, "doc_id").join(spans.df, "doc_id", "left").mapInArrow(_cut, schema)
+    bits = bits_for(spans.df.count())
+    marked = with_maybe(base, bitmap(spans.df, "doc_id", "h", bits=bits), "doc_id", "h", bits=bits)
+    whole = marked.filter("NOT maybe").select("doc_id", "text").mapInArrow(_cut, schema)
+    cut = marked.filter("maybe").join(spans.df, ["doc_id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)
     return whole.unionByName(cut)

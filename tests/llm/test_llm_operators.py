@@ -193,7 +193,44 @@ def test_substring_edges(spark, empty):
     out = substring.substring_dedup(make(spark, [(None, text, None, None), (5, text, None, None), (3, text, None, None)])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in out) == [("3", 0), ("5", 30), ("None", 0)]
     assert [tuple(s) for s in next(r for r in out if r.doc_id == 5).spans] == [(0, 30)]
-    assert substring.factors(np.array([-1, 4, 5, 9, -1, 6]), 3) == [(1, 4, 4), (3, 3, 9), (5, 3, 6)]
+    twice = make(spark, [(5, text, None, None), (5, text, None, None), (7, text + " end", None, None), (7, "x " + text, None, None), (7, None, None, None)])
+    out = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(twice).collect())
+    assert out == [(5, 30, 0), (5, 30, 0), (7, 0, 0), (7, 31, 30), (7, 31, 30)]
+
+
+@pytest.mark.parametrize("hot, size", [(2, 1 << 18), (2, 40), (10**6, 40)])
+def test_substring_hot_anchors(spark, hot, size):
+    """A passage that most documents hold, among words of their own, over many blocks."""
+    rng = random.Random(8)
+    line = [f"l{i}" for i in range(30)]
+    rows = [(i, " ".join([f"a{rng.randrange(50)}" for _ in range(rng.randrange(30))] + line + [f"b{rng.randrange(3)}" for _ in range(rng.randrange(40))]), None, None) for i in range(300)]
+    got = byid(substring.substring_dedup(make(spark, rows).repartition(40), hot=hot, reference_windows=size), "n_words", "n_removed", "kept_sha256")
+    assert got == substring_brute(rows, 20)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_factors_are_longest_earlier_matches(ties):
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(2, 60))
+        symbols = rng.integers(0, 3, n)
+        when = rng.integers(0, n, n) if ties else rng.permutation(n)
+        length, source = substring.SuffixArray(symbols).longest_earlier(when)
+
+        def common(i, j, s=symbols.tolist()):
+            k = 0
+            while max(i, j) + k < len(s) and s[i + k] == s[j + k]:
+                k += 1
+            return k
+
+        for i in range(n):
+            assert length[i] == max([common(i, j) for j in range(n) if when[j] < when[i]], default=0)
+            assert source[i] == -1 if not length[i] else when[source[i]] < when[i] and common(i, source[i]) == length[i]
+        begin, at = substring.greedy(length), 0
+        for b in begin.tolist():
+            assert not length[at:b].any() and length[b]
+            at = b + length[b]
+        assert not length[at:].any()
 
 
 # --- decontamination ---------------------------------------------------------------------------------------------
@@ -318,7 +355,7 @@ def test_language(spark, empty):
     rows += [(600, None, "xx", None), (601, "123 !!", "yy", None), (602, "", None, None)]
     df = make(spark, rows)
     models = langid.fit_dictionaries(df.filter(~langid.held_out()))
-    assert list(models) == ["xx", "yy", "zz"] and all(len(m) <= 4 * langid.SLOTS * langid.PIECE_CHARS for m in models.values())
+    assert list(models) == ["xx", "yy", "zz"] and all(len(m) <= 4 * langid.SLOTS * langid.LONGEST_CHARS for m in models.values())
     got = byid(langid.identify_language(df, models), "lang_pred", "score", "rejected")
     test = [r for r in rows[:600] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert len(test) > 100 and np.mean([got[i][0] == lang for i, _, lang, _ in test]) > 0.98
