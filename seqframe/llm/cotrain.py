@@ -172,7 +172,8 @@ def fit_cotraining(docs: DataFrame, labels: DataFrame, rounds: int = 2, confiden
 
 def _calibrate(known: DataFrame, state: State) -> None:
     now = known.sparkSession.sparkContext.broadcast(state)
-    rows = known.mapInArrow(lambda it: _held_scores(it, now.value), "doc_id long, text double, meta double").collect()  # bounded by max_labels
+    scores = known.mapInArrow(lambda it: _held_scores(it, now.value), "doc_id long, text double, meta double")
+    rows = scores.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("meta").alias("meta")).collect()  # one row a labelled id, so max_labels at most
     rows = sorted((r["doc_id"], r["text"], r["meta"]) for r in rows if r["doc_id"] in state.held)
     y = np.array([state.held[r[0]] for r in rows], dtype=float)
     raw = np.array([r[1:] for r in rows], dtype=float).reshape(-1, 2)

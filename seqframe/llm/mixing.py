@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame and SQL functions only.
 
-1. Tokens (here: words between ASCII white space) are summed by source; shares are p.
+1. Tokens (words between ASCII white space, or a column of counts) are summed by source; shares are p.
 2. Weights are p**alpha, normalised.  alpha in [0, 1] is bisected: the largest one whose weights reach a target entropy
    (entropy falls as alpha grows), or the smallest one that repeats no source more than a limit (repetition of the
    smallest source falls as alpha grows).
@@ -80,7 +80,7 @@ def _cut(rows: DataFrame, by: list[str], unit: str, need: str) -> tuple[DataFram
     return sums.filter((F.col("before") <= F.col(need)) & (F.col("before") + F.col("tokens") > F.col(need))).select(*by, F.col(unit).alias("edge"), (F.col(need) - F.col("before")).alias("left"))
 
 
-def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 7, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 7, text: str = "text", key: str = "doc_id", source: str = "source", n_tokens: str | None = None) -> DataFrame:
     """One row per document and epoch that draws it: doc_id, source, n_tokens, epoch, block, place.
 
     Reading a source's rows by (epoch, block, place, doc_id) is its shuffled stream; block is a range of the epoch's
@@ -88,9 +88,11 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_repeat
     their block in every epoch, at no cost; so is every document of a source without words, never (budget 0).  A null
     source is a source of its own.  Ties of `place` are taken by doc_id, and rows that repeat a doc_id stand for
     themselves.  A budget that ends within a document leaves that document out, so a source stays under its budget by less
-    than its longest document.  An empty table gives no rows; other columns are ignored.
+    than its longest document.  An empty table gives no rows; other columns are ignored.  Tokens are words between ASCII white
+    space, or what the column `n_tokens` says where it is given (token_counts makes one); null and negative counts are 0.
     """
-    base = Stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("n_tokens")), "counts")
+    size = word_count(text) if n_tokens is None else F.greatest(F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)), F.lit(0))
+    base = Stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("n_tokens")), "counts")
     tokens = base.df.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     weights = Stored(source_weights(tokens, target_entropy, max_repeats, budget).filter("budget > 0").select("source", "tokens", "budget"), "weights")
     plan = weights.df.select(

@@ -10,6 +10,7 @@ section).
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 
+#: Runs of white space from this length on are cut out before the split pattern sees them, as its look-ahead gives up near 10^6 characters.
+LONG_RUN = 1 << 16
+#: Fixed value: white space as the pattern has it.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 RULES = ("start", "end", "majority")
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that the public byte-level vocabularies were made with.
@@ -31,13 +36,26 @@ class Encoder:
     def __init__(self, ranks: bytes, pattern: str = PATTERN):
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.long_runs = pattern == PATTERN  # what the cut relies on; another pattern sees the whole text
         self.lengths = np.zeros(max(table.values()) + 1, dtype=np.int64)
         for token, rank in table.items():
             self.lengths[rank] = len(token)
 
+    def ids(self, text: str) -> np.ndarray:
+        """Tokens of the text. A long run of white space is one piece to the pattern, but for its last character if a text follows,
+        so the three parts are encoded on their own and the tokens stay the same."""
+        parts, at = [], 0
+        for run in _LONG_SPACE.finditer(text) if self.long_runs else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts.append(self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+            parts.append(np.array(self.encoding._core_bpe.encode_single_piece(text[run.start() : end].encode()), dtype=np.uint32))
+            at = end
+        parts.append(self.encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(parts).astype(np.int64)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, first characters, ends in characters)."""
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        ids = self.ids(text)
         body = np.frombuffer(text.encode(), dtype=np.uint8)
         ends = np.cumsum(self.lengths[ids])
         char = np.cumsum((body & 0xC0) != 0x80) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import Stored, new_path
+from .shared import Stored, join_unique, new_path, with_membership
 
 #: Fixed values of the ZIP format (PKWARE APPNOTE): signatures and full-field marks.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -32,10 +32,26 @@ FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 100
+#: Archive bytes that a reading task fetches.
+TASK_BYTES = 64 << 20
+
+
+#: Schemes that Hadoop names otherwise than pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs"}
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The store of a path as Spark names it: by pyarrow, or, for schemes that it doesn't know, by fsspec where that is installed."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except pa.ArrowInvalid:
+        import fsspec
+
+        store, root = fsspec.core.url_to_fs(path)
+        return pafs.PyFileSystem(pafs.FSSpecHandler(store)), root
 
 
 class PackageWriter:
@@ -148,9 +164,9 @@ class PackageReader:
         return offset + 30 + name_len + extra_len, size
 
 
-def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record as a gzip member. A revisit holds the HTTP head only, with the payload's length."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None, size: int | None = None) -> bytes:
+    """One WARC/1.1 record as a gzip member. A revisit holds the HTTP head only, with the payload's length, which `size` tells."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}" if page_id is not None else f"payload:{digest}")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha256:{digest}"]
@@ -183,16 +199,22 @@ def parse_record(data: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, text: str = "html", key: str = "page_id", url: str = "url", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, digest, refers_to: the smallest page_id of equal payloads of min_bytes at least, null for responses.
+    """page_id, url, html (null for revisits), size, digest, refers_to: the smallest page_id of equal payloads of min_bytes at least, null for responses.
 
-    Digests and ids are grouped apart from the payloads, by partial aggregates.
+    Revisits are found among digests and ids alone; the first pages of copied payloads, a bounded number of hot ones aside, meet
+    their copies by a join of narrow rows.  A payload goes from its scan to its package and is not shuffled: revisits are told
+    by (page_id, digest), and their rows leave the payload behind.
     """
-    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(text), F.lit("")).alias("html"))
-    full = base.withColumn("digest", F.sha2("html", 256))
-    long = F.octet_length("html") >= min_bytes
-    firsts = full.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    out = full.join(firsts, "digest", "left")
-    return out.select("page_id", "url", "html", "digest", F.when(long & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to"))
+    html = F.coalesce(F.col(text), F.lit(""))
+    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("digest"))
+    ids = Stored(base.filter(F.col("size") >= min_bytes).select("page_id", "digest"), "payloads")
+    firsts = Stored(ids.df.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    again = join_unique(ids.df, firsts.df, "digest", "n").filter("first < page_id").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
+    again = Stored(again, "revisits")
+    marked = with_membership(base, again.df, ["page_id", "digest"], "again")
+    whole = marked.filter("NOT again").select("page_id", "url", "html", "size", "digest", F.lit(None).cast("long").alias("refers_to"))
+    copies = marked.filter("again").select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "digest").join(again.df, ["page_id", "digest"])
+    return whole.unionByName(copies)
 
 
 def _write(batches, folder: str, package_bytes: int, zip64: bool):
@@ -212,7 +234,7 @@ def _write(batches, folder: str, package_bytes: int, zip64: bool):
         return pa.record_batch([pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([writer.at], pa.int64())], names=["path", "records", "bytes"])
 
     for block in tc.blocks(batches, "html"):
-        for page, url, html, digest, refers in zip(*(block.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+        for page, url, html, size, digest, refers in zip(*(block.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "refers_to")), strict=True):
             if writer is None:  # a name of its own for each attempt: a task that runs again leaves whole files only
                 name = f"{root}/part-{part:06d}-{made:04d}-{uuid.uuid4().hex[:8]}.wacz"
                 stream = store.open_output_stream(name)
@@ -220,7 +242,7 @@ def _write(batches, folder: str, package_bytes: int, zip64: bool):
                 writer.begin(ARCHIVE)
                 base = writer.at
             kind = "response" if refers is None else "revisit"
-            data = record_bytes(kind, url, page, html.encode("utf-8", "surrogatepass"), digest, refers)
+            data = record_bytes(kind, url, page, (html or "").encode("utf-8", "surrogatepass"), digest, refers, size)
             index.append(json.dumps({"page": page, "offset": writer.at - base, "length": len(data)}))
             writer.write(data)
             if writer.at >= package_bytes:
@@ -285,11 +307,16 @@ def _fetch(batches, folder: str):
 def read_packages(manifest: DataFrame, folder: str, per_row: int = 64) -> DataFrame:
     """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
-    Packages are planned as ranges of per_row records from their directories and indexes; ranges are dealt to all tasks,
-    and each record is read by its own range.  Digests of responses are checked against their payloads.
+    Packages are planned as ranges of per_row records from their directories and indexes; ranges are dealt to as many tasks as the
+    manifest's bytes need, and each record is read by its own range.  Digests of responses are checked against their payloads.
     """
-    ranges = manifest.select("path", "bytes").mapInArrow(lambda it: _ranges(it, folder, per_row), "path string, offsets array<long>, lengths array<long>")
-    return ranges.repartition(F.col("path"), F.col("offsets")[0]).mapInArrow(lambda it: _fetch(it, folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    spark = manifest.sparkSession
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    lanes = spark.sparkContext.defaultParallelism
+    # explicit numbers, which adaptive execution leaves as they are: rows here are ranges, small whatever is behind them
+    found = manifest.select("path", "bytes").repartition(max(1, min(files, 4 * lanes, 10_000))).mapInArrow(lambda it: _ranges(it, folder, per_row), "path string, offsets array<long>, lengths array<long>")
+    tasks = max(1, min(lanes, files), size // TASK_BYTES)
+    return found.repartition(tasks, F.col("path"), F.col("offsets")[0]).mapInArrow(lambda it: _fetch(it, folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

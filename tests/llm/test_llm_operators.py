@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqframe.llm import cotrain, decontaminate, exact_dedup, langid, lm_scoring, minhash, mixing, substring, token_counts
 from seqframe.llm import textcore as tc
@@ -409,6 +410,16 @@ def test_token_counts(spark, docs, empty):
     assert len(f.section_tokens) == 3 and sum(f.section_tokens) == f.n_tokens == len(encoder.encoding.encode_ordinary("en\n\nsome text"))
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "é", "\t \n"])
+def test_token_counts_of_very_long_runs(spark, run):
+    encoder = token_counts.Encoder(open(token_counts.DEFAULT_RANKS, "rb").read())
+    for tail in ("", "b c", ". d"):
+        text = "x" + run * (1 << 17) + tail
+        assert encoder.ids(text).tolist() == encoder.encoding.encode_ordinary(text)
+    row = token_counts.token_counts(make(spark, [(1, "x" + run * (5_000_000 // len(run)) + "b", None, None)])).first()
+    assert row.n_tokens == sum(row.section_tokens) > 10**6
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
@@ -448,5 +459,11 @@ def test_mix(spark, docs, budget):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_mix_by_a_column_of_tokens(docs):
+    counted = docs.withColumn("tokens", F.col("doc_id") % 7 - 1)
+    got = {(r.doc_id, r.n_tokens) for r in mixing.mix_sources(counted, 0.99, n_tokens="tokens").collect()}
+    assert got and all(n == max(0, i % 7 - 1) for i, n in got)
+
+
 def test_mix_empty(empty):
     assert mixing.mix_sources(empty, 0.9).collect() == []
