@@ -425,6 +425,15 @@ def align_substitutions(a: str, b: str, scoring: Scoring | None = None) -> Align
     return Alignment(a, muts, (0, len(a)), (0, len(b)), sum(int(scoring.matrix[codes.index(x), codes.index(y)]) for x, y in zip(a, b, strict=True)))
 
 
+def substitution_columns(seq1: Column, seq2: Column, match: int = 5, mismatch: int = -4) -> Column:
+    """struct(score, mutations) of align_substitutions, of built-in expressions; null for sequences of different lengths."""
+    letters = F.arrays_zip(F.split(F.upper(seq1), "").alias("a"), F.split(F.upper(seq2), "").alias("b"))
+    muts = F.filter(F.transform(letters, lambda x, i: F.when(x["a"] != x["b"], F.concat(F.lit("S"), x["a"], i.cast("string"), x["b"]))), lambda m: m.isNotNull())
+    n = F.length(seq1)
+    score = (n - F.size(muts)) * match + F.size(muts) * mismatch
+    return F.when(n == F.length(seq2), F.struct(score.cast("int").alias("score"), F.array_join(muts, "").alias("mutations")))
+
+
 def align_columns(seq1: Column, seq2: Column, scoring: Scoring | None = None, mode: str = "global", band: int | None = None, ends: Ends = ALL) -> Column:
     """struct(score, mutations, from1, to1, from2, to2); null without an alignment or for nulls. Arrow batches."""
     scoring = scoring or LinearScoring.nucleotide()

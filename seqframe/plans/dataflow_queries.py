@@ -21,28 +21,35 @@ def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTERVALS = "iv AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS g, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS lower, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INTEGER) % 8 AS upper FROM lineitem)"
-_PAIR = "a.l_orderkey AS a_l_orderkey, a.l_linenumber AS a_l_linenumber, b.l_orderkey AS b_l_orderkey, b.l_linenumber AS b_l_linenumber"
+ORDERS = "ord AS (SELECT o_orderkey, o_custkey % 20 AS g, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS lower, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_custkey % 4 AS upper FROM orders)"
 
 
-@query(f"WITH {INTERVALS} SELECT {_PAIR} FROM iv a JOIN iv b ON a.g = b.g AND a.lower < b.upper AND b.lower < a.upper WHERE a.lower < a.upper AND b.lower < b.upper AND a.l_linenumber = 1 AND b.l_linenumber = 7")
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("g"), day.alias("lower"), (day + (F.col("o_custkey") % 4).cast("int")).alias("upper"))
+
+
+_LINE = "o_orderkey, l_orderkey, l_linenumber"
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.col("a_o_orderkey").alias("o_orderkey"), F.col("b_l_orderkey").alias("l_orderkey"), F.col("b_l_linenumber").alias("l_linenumber"))
+
+
+@query(f"WITH {INTERVALS}, {ORDERS} SELECT {_LINE} FROM ord a JOIN iv b ON a.g = b.g AND a.lower < b.upper AND b.lower < a.upper WHERE a.lower < a.upper AND b.lower < b.upper")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _intervals(spark, sf_dir)
-    pairs = iv.range_join(x.filter("l_linenumber = 1"), x.filter("l_linenumber = 7"), 16, ["g"])
-    return pairs.select("a_l_orderkey", "a_l_linenumber", "b_l_orderkey", "b_l_linenumber")
+    return _pairs(iv.range_join(_orders(spark, sf_dir), _intervals(spark, sf_dir), 16, ["g"]))
 
 
-@query(f"WITH {INTERVALS} SELECT {_PAIR} FROM iv a JOIN iv b ON a.g = b.g AND a.lower <= b.upper AND b.lower <= a.upper WHERE a.l_linenumber = 6 AND b.l_linenumber = 7")
+@query(f"WITH {INTERVALS}, {ORDERS} SELECT {_LINE} FROM ord a JOIN iv b ON a.g = b.g AND a.lower <= b.upper AND b.lower <= a.upper")
 def range_join_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _intervals(spark, sf_dir)
-    pairs = iv.range_join(x.filter("l_linenumber = 6"), x.filter("l_linenumber = 7"), 16, ["g"], touching=True)
-    return pairs.select("a_l_orderkey", "a_l_linenumber", "b_l_orderkey", "b_l_linenumber")
+    return _pairs(iv.range_join(_orders(spark, sf_dir), _intervals(spark, sf_dir), 16, ["g"], touching=True))
 
 
-@query(f"WITH {INTERVALS}, p AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders WHERE o_orderkey % 50 = 0) SELECT o_orderkey, l_orderkey, l_linenumber FROM p JOIN iv ON day >= lower AND day < upper WHERE g = 3")
+@query(f"WITH {INTERVALS}, {ORDERS} SELECT {_LINE} FROM ord a JOIN iv b ON a.g = b.g AND a.lower >= b.lower AND a.lower < b.upper")
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("day"))
-    found = iv.point_join(points, _intervals(spark, sf_dir).filter("g = 3"), "day", 16)
-    return found.select(F.col("a_o_orderkey").alias("o_orderkey"), F.col("b_l_orderkey").alias("l_orderkey"), F.col("b_l_linenumber").alias("l_linenumber"))
+    points = _orders(spark, sf_dir).select("o_orderkey", "g", F.col("lower").alias("day"))
+    return _pairs(iv.point_join(points, _intervals(spark, sf_dir), "day", 16, keys=["g"]))
 
 
 @query(f"WITH {INTERVALS} SELECT g, d AS position, count(*) AS depth FROM iv, unnest(range(lower, upper)) u(d) WHERE lower < upper GROUP BY g, d")
@@ -99,12 +106,12 @@ def merge_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.merge_sorted(ins, ["key"])
 
 
-@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last FROM lineitem WHERE l_orderkey < 3000 GROUP BY ALL")
+@query("SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS n, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY ALL")
 def group_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000")
-    lists = flow.group_by_prefix(some, ["l_linenumber"], ["l_returnflag", "l_linestatus"], ["l_orderkey"])
+    """Lines of each order and state: groups are orders, so no list is long."""
+    lists = flow.group_by_prefix(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"], ["l_linenumber"])
     items = F.col("items")
-    return lists.select("l_returnflag", "l_linestatus", "l_linenumber", F.size(items).cast("long").alias("n"), items[0]["l_orderkey"].alias("first"), F.element_at(items, -1)["l_orderkey"].alias("last"))
+    return lists.select("l_orderkey", "l_returnflag", "l_linestatus", F.size(items).cast("long").alias("n"), items[0]["l_linenumber"].alias("first"), F.element_at(items, -1)["l_linenumber"].alias("last"))
 
 
 _KEYS = "keys AS (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey + 20 FROM nation)"
@@ -121,10 +128,10 @@ def cogroup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", F.col("g0.c_custkey").alias("customers"), F.col("g1.s_suppkey").alias("suppliers"), F.col("g2.n_name").alias("nations"))
 
 
-@query("SELECT coalesce(d.k, l.k, o.k) AS k, coalesce(d.n, 0) AS n0, coalesce(l.n, 0) AS n1, coalesce(o.n, 0) AS n2 FROM (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY 1) d FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1) l ON d.k = l.k FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON coalesce(d.k, l.k) = o.k")
+@query("SELECT coalesce(d.k, l.k, o.k) AS k, coalesce(d.n, 0) AS n0, coalesce(l.n, 0) AS n1, coalesce(o.n, 0) AS n2 FROM (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY 1) d FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) l ON d.k = l.k FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON coalesce(d.k, l.k) = o.k")
 def cogroup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return flow.cogroup_counts([orders.select(F.col("o_orderkey").alias("k")), line.filter("l_linenumber > 3").select(F.col("l_orderkey").alias("k")), orders.select(F.col("o_custkey").alias("k"))], ["k"])
+    return flow.cogroup_counts([orders.select(F.col("o_orderkey").alias("k")), line.select(F.col("l_orderkey").alias("k")), orders.select(F.col("o_custkey").alias("k"))], ["k"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

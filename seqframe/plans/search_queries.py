@@ -14,91 +14,123 @@ from ..operators import aggregates as agg
 from ..operators import batch_alignment as ba
 from ..operators import clustering as cl
 from ..operators import fuzzy as fz
+from . import scores_sql as dp
 from .base import query, reads, reads_sql, seq_of, table
 
 WITH = f"WITH {reads_sql()} "
-EIGHT = f"WITH {reads_sql()}, w AS (SELECT doc_id, substr(seq, 1, 8) AS s FROM reads) "
+RECURSIVE = f"WITH RECURSIVE {reads_sql()}"
+#: Distinct reads and a changed form of each read (a letter changed, and a letter lost in every second), classes of equal ones by their first id.
+FUZZY = f"""WITH {reads_sql()}, k AS (SELECT seq AS s, min(doc_id) AS k_id, count(*) AS k_rows FROM reads GROUP BY seq),
+p AS (SELECT doc_id, CAST(doc_id % 13 + 3 AS INTEGER) AS i, seq FROM reads),
+q AS (SELECT s, min(doc_id) AS q_id, count(*) AS q_rows FROM (SELECT doc_id, substr(seq, 1, i) || translate(substr(seq, i + 1, 1), 'ACGT', 'CGTA') || substr(seq, i + 2, 8) || CASE WHEN {{lost}} THEN '' ELSE substr(seq, i + 10, 1) END || substr(seq, i + 11) AS s FROM p) GROUP BY s) """
 
 
-def _eight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir).select("doc_id", F.substring("seq", 1, 8).alias("s"))
+def _classes(spark: SparkSession, sf_dir: str, lose: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries and keys: one row for each distinct sequence, with the smallest id that bears it and the number of its rows."""
+    seq, at = F.col("seq"), (F.col("doc_id") % 13 + 3).cast("int")
+    kept = F.when(F.lit(lose) & (F.col("doc_id") % 2 == 0), F.lit("")).otherwise(F.substring(seq, at + 10, F.lit(1)))
+    changed = F.concat(F.substring(seq, F.lit(1), at), F.translate(F.substring(seq, at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring(seq, at + 2, F.lit(8)), kept, F.substring(seq, at + 11, F.lit(32)))
+    base = reads(spark, sf_dir)
+    group = lambda df: df.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    return group(base.select("doc_id", changed.alias("s"))), group(base.select("doc_id", seq.alias("s")))
 
 
-@query(EIGHT + "SELECT a.doc_id AS q_doc_id, b.doc_id AS k_doc_id FROM w a JOIN w b ON levenshtein(a.s, b.s) <= 2")
+@query(FUZZY.format(lost="doc_id % 2 = 0") + "SELECT q_id, q_rows, k_id, k_rows FROM q JOIN k ON abs(len(q.s) - len(k.s)) <= 2 AND levenshtein(q.s, k.s) <= 2")
 def fuzzy_join_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _eight(spark, sf_dir)
-    return fz.fuzzy_join(w, w, "s", "s", fz.SearchLimits(2, 2, 2, 2, greedy=False), explain=False).select("q_doc_id", "k_doc_id")
+    q, k = _classes(spark, sf_dir, True)
+    return fz.fuzzy_join(q, k, "s", "s", fz.SearchLimits(2, 2, 2, 2, greedy=False), explain=False).select("q_id", "q_rows", "k_id", "k_rows")
 
 
-@query(EIGHT + "SELECT a.doc_id AS q_doc_id, b.doc_id AS k_doc_id, hamming(a.s, b.s) AS mismatches FROM w a JOIN w b ON hamming(a.s, b.s) <= 2")
+@query(FUZZY.format(lost="doc_id % 2 = 0") + "SELECT q_id, k_id, levenshtein(q.s, k.s) AS edits FROM q JOIN k ON abs(len(q.s) - len(k.s)) <= 2 AND levenshtein(q.s, k.s) <= 2")
+def fuzzy_join_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact kernel's edits; at penalties of 1 each the cheapest way has as many as the edit distance."""
+    q, k = _classes(spark, sf_dir, True)
+    found = fz.fuzzy_join(q, k, "s", "s", fz.SearchLimits(2, 2, 2, 2, penalties=(1.0, 1.0, 1.0), greedy=False))
+    return found.select("q_id", "k_id", (F.col("mismatches") + F.col("deletions") + F.col("insertions")).cast("long").alias("edits"))
+
+
+@query(FUZZY.format(lost="false") + "SELECT q_id, q_rows, k_id, k_rows, hamming(q.s, k.s) AS mismatches FROM q JOIN k ON hamming(q.s, k.s) <= 2")
 def fuzzy_join_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _eight(spark, sf_dir)
-    out = fz.fuzzy_join(w, w, "s", "s", fz.SearchLimits(2, 0, 0, 2)).select("q_doc_id", "k_doc_id", "mismatches")
+    q, k = _classes(spark, sf_dir, False)
+    out = fz.fuzzy_join(q, k, "s", "s", fz.SearchLimits(2, 0, 0, 2)).select("q_id", "q_rows", "k_id", "k_rows", "mismatches")
     return out.withColumn("mismatches", F.col("mismatches").cast("long"))
 
 
 @query(
-    EIGHT
-    + """, h AS (SELECT q.doc_id AS query_id, r.doc_id AS ref_id, 8 - 2 * hamming(q.s, r.s) AS score FROM w q JOIN w r ON r.doc_id % 10 = 3),
+    WITH
+    + """, h AS (SELECT q.doc_id AS query_id, r.doc_id AS ref_id, 32 - 2 * hamming(q.seq, r.seq) AS score FROM reads q JOIN reads r ON q.doc_id % 100 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM h)
-  SELECT query_id, ref_id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE score >= greatest(2.0, best * 0.8) AND rank <= 3"""
+  SELECT query_id, ref_id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE score >= greatest(-32.0, best * 0.1) AND rank <= 5"""
 )
 def brute_force_tophits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _eight(spark, sf_dir)
-    refs = w.filter("doc_id % 10 = 3").select(F.col("doc_id").alias("ref_id"), F.col("s").alias("seq"))
-    return ba.substitution_hits(w.select(F.col("doc_id").alias("query_id"), F.col("s").alias("seq")), refs, cut=ba.HitCut(2, 0.8, 3))
+    """Query ids divisible by 100 against all references."""
+    r = reads(spark, sf_dir)
+    queries = r.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "seq")
+    return ba.substitution_hits(queries, r.select(F.col("doc_id").alias("ref_id"), "seq"), cut=ba.HitCut(-32, 0.1, 5))
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads with a substitution and a deletion at places taken from doc_id, by rule."""
+    """Reads of even ids with a substitution and a deletion at places taken from doc_id, of odd ones with themselves backwards."""
     at = (F.col("doc_id") % 13 + 3).cast("int")
     seq = F.col("seq")
     letter = F.substring(F.lit("CGTA"), F.position(F.substring(seq, at + 1, F.lit(1)), F.lit("ACGT")), F.lit(1))
     changed = F.concat(F.substring(seq, F.lit(1), at), letter, F.substring(seq, at + 2, F.lit(8)), F.substring(seq, at + 11, F.lit(32)))
-    return reads(spark, sf_dir).select("doc_id", "seq", changed.alias("other"))
+    return reads(spark, sf_dir).select("doc_id", "seq", F.when(F.col("doc_id") % 2 == 0, changed).otherwise(F.reverse("seq")).alias("other"))
 
 
 def _aligned(spark: SparkSession, sf_dir: str, scoring: al.Scoring, mode: str, band: int | None = None) -> DataFrame:
+    """Of each alignment the score, and whether its mutations turn its stretch of one sequence into that of the other and add up to the score."""
     hit = al.align_columns(F.col("seq"), F.col("other"), scoring, mode, band)
     out = _planted(spark, sf_dir).withColumn("h", hit).select("doc_id", "seq", "other", "h.*")
-    return out.withColumn("rebuilt", F.when((F.col("from1") == 0) & (F.col("to1") == 32), mu.mutate_column(F.col("seq"), F.col("mutations")) == F.col("other"))).drop("seq", "other")
-
-
-@query()
+    one = F.substring("seq", F.col("from1") + 1, F.col("to1") - F.col("from1"))
+    two = F.substring("other", F.col("from2") + 1, F.col("to2") - F.col("from2"))
+    moved = mu.move_column(F.col("mutations"), -F.col("from1"))
+    subs, gone, come = (mu.count_kind(F.col("mutations"), kind) for kind in "SDI")
+    kept = F.col("to1") - F.col("from1") - subs - gone
+    if scoring.open == scoring.extend:
+        cost = (gone + come) * scoring.open
+    else:  # opened: indels that don't go on from the one before
+        cost = (gone + come) * scoring.extend + mu.count_gaps(F.col("mutations")) * (scoring.open - scoring.extend)
+    total = kept * int(scoring.matrix[0, 0]) + subs * int(scoring.matrix[0, 1]) + cost
+    return out.select("doc_id", F.col("score").cast("long").alias("score"), (mu.mutate_column(one, moved) == two).alias("rebuilt"), (total == F.col("score")).alias("adds_up"))
+
+
+@query(RECURSIVE + dp.SQL.format(**dp.linear(-5)))
 def align_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, al.LinearScoring.nucleotide(), "global")
 
 
-@query()
+@query(RECURSIVE + dp.AFFINE_SQL.format(**dp.affine(-10, -1)))
 def align_global_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, al.AffineScoring.nucleotide(), "global")
 
 
-@query()
+@query(RECURSIVE + dp.AFFINE_SQL.format(**dp.affine(-10, -1, local=True)))
 def align_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, al.AffineScoring.nucleotide(), "local")
 
 
-@query()
+@query(RECURSIVE + dp.SQL.format(**dp.linear(-5, band=3)))
 def align_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, al.LinearScoring.nucleotide(), "global", 3)
 
 
-@query()
+@query(RECURSIVE + dp.SQL.format(**dp.linear(-5, free_end=True)))
 def align_semi_local_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of both are aligned, the ends are free."""
     return _aligned(spark, sf_dir, al.LinearScoring.nucleotide(), "left")
 
 
-@query()
+@query(RECURSIVE + dp.SQL.format(**dp.linear(-5, free_end=True, mirrored=True)))
 def align_semi_local_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of both are aligned, the beginnings are free."""
     return _aligned(spark, sf_dir, al.LinearScoring.nucleotide(), "right")
 
 
-@query(WITH + "SELECT doc_id, 2 * len(list_filter(range(1, 33), lambda i: substr(seq, i, 1) = substr(reverse(seq), i, 1))) - 32 AS score FROM reads")
+@query(WITH + "SELECT doc_id, 5 * m - 4 * (32 - m) AS score, 32 - m AS mutations FROM (SELECT doc_id, len(list_filter(range(1, 33), lambda i: substr(seq, i, 1) = substr(reverse(seq), i, 1))) AS m FROM reads)")
 def align_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.sequence import mismatch_count
-
-    return reads(spark, sf_dir).select("doc_id", (F.lit(32) - 2 * mismatch_count(F.col("seq"), F.reverse("seq"))).cast("long").alias("score"))
+    hit = al.substitution_columns(F.col("seq"), F.reverse("seq"))
+    return reads(spark, sf_dir).withColumn("h", hit).select("doc_id", F.col("h.score").cast("long").alias("score"), mu.count_kind(F.col("h.mutations"), "S").cast("long").alias("mutations"))
 
 
 def _queries_and_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -192,9 +224,36 @@ def mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", "mutated", mu.mutate_column(F.col("mutated"), mu.invert_column(m)).alias("back"), mu.to_seq2_column(m, F.lit(10)).alias("deleted_to_seq2"), mu.to_seq2_column(m, F.lit(16)).alias("p16"))
 
 
-@query()
+#: Objects of the clustering: distinct reads (weight 8) and forms of them with one letter changed (weight 3) and two (weight 1).
+CLUSTERS = (
+    WITH
+    + """, p AS (SELECT doc_id, seq, CAST(doc_id % 7 + 2 AS INTEGER) AS i FROM reads),
+f AS (SELECT seq, 8 AS w FROM p UNION ALL SELECT substr(seq, 1, i) || translate(substr(seq, i + 1, 1), 'ACGT', 'CGTA') || substr(seq, i + 2), 3 FROM p
+  UNION ALL SELECT substr(seq, 1, i) || translate(substr(seq, i + 1, 1), 'ACGT', 'CGTA') || substr(seq, i + 2, 9) || translate(substr(seq, i + 11, 1), 'ACGT', 'GTAC') || substr(seq, i + 12), 1 FROM p),
+o AS (SELECT seq, max(w) AS weight FROM f GROUP BY seq),
+k AS (SELECT seq, weight, row_number() OVER (ORDER BY weight DESC, translate(seq, 'AGCT', '3210')) AS place FROM o),
+e AS (SELECT a.place AS parent, b.place AS child FROM k a JOIN k b ON a.weight > b.weight AND hamming(a.seq, b.seq) = 1),
+top AS (SELECT place, place AS root, 0 AS depth FROM k WHERE weight = 8),
+mid AS (SELECT k.place, min(parent) AS parent FROM k LEFT JOIN e ON child = place AND parent IN (SELECT place FROM top) WHERE weight = 3 GROUP BY k.place),
+mids AS (SELECT place, coalesce(parent, place) AS root, parent, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth FROM mid),
+two AS (SELECT place, root, depth FROM top UNION ALL SELECT place, root, depth FROM mids),
+low AS (SELECT k.place, min((t.root, t.depth, t.place)) AS best FROM k LEFT JOIN e ON child = k.place LEFT JOIN two t ON t.place = parent AND t.depth < 2 WHERE weight = 1 GROUP BY k.place),
+every AS (SELECT place, root, NULL::BIGINT AS parent, 0 AS depth FROM top UNION ALL SELECT place, root, parent, depth FROM mids
+  UNION ALL SELECT place, coalesce(best[1], place), best[3], CASE WHEN best[1] IS NULL THEN 0 ELSE best[2] + 1 END FROM low)
+SELECT k.seq, r.seq AS root, p.seq AS parent, CAST(depth AS INTEGER) AS depth FROM every v JOIN k USING (place) JOIN k r ON r.place = v.root LEFT JOIN k p ON p.place = v.parent"""
+)
+
+
+@query(CLUSTERS)
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects are distinct reads, weighted by how often they occur; a read of 32 letters fills the 64 bits of its id."""
-    objects = reads(spark, sf_dir).select("seq").groupBy("seq").agg(F.count("*").alias("weight"))
+    """A read of 32 letters fills the 64 bits of its id."""
+    seq, at = F.col("seq"), (F.col("doc_id") % 7 + 2).cast("int")
+    first, rest = F.substring(seq, F.lit(1), at), F.substring(seq, at + 2, F.lit(32))
+    one = F.concat(first, F.translate(F.substring(seq, at + 1, F.lit(1)), "ACGT", "CGTA"), rest)
+    two = F.concat(F.substring(one, F.lit(1), at + 10), F.translate(F.substring(one, at + 11, F.lit(1)), "ACGT", "GTAC"), F.substring(one, at + 12, F.lit(32)))
+    forms = F.explode(F.array(*[F.struct(s.alias("seq"), F.lit(w).alias("w")) for s, w in ((seq, 8), (one, 3), (two, 1))]))
+    objects = reads(spark, sf_dir).select(forms.alias("f")).groupBy("f.seq").agg(F.max("f.w").alias("weight"))
     coded = objects.withColumn("id", F.conv(F.translate("seq", "AGCT", "0123"), 4, -10).cast("long"))
-    return cl.cluster(coded, cl.ClusteringStrategy(fz.SearchLimits(1, 0, 0, 1), max_depth=2))
+    out = cl.cluster(coded, cl.ClusteringStrategy(fz.SearchLimits(1, 0, 0, 1), max_depth=2))
+    name = lambda c: F.translate(F.lpad(F.conv(F.col(c).cast("string"), 10, 4), 32, "0"), "0123", "AGCT").alias(c.removesuffix("_id"))
+    return out.select(name("id").alias("seq"), name("root_id"), name("parent_id"), "depth")

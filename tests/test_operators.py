@@ -17,6 +17,7 @@ from seqframe.operators import dataflow as flow
 from seqframe.operators import fuzzy as fz
 from seqframe.operators import intervals as iv
 from seqframe.operators.graph import components
+from seqframe.operators.skew import join_unique
 from seqframe.plans import catalogue
 
 
@@ -99,6 +100,49 @@ def test_clusters(spark):
     assert {r.root_id: r.total for r in cl.cluster_totals(deep).collect()} == {1: 3, 5: 2, 6: 1}
 
 
+def _greedy(rows, edits, depth, ratio=0.0, accept=None):
+    """Visits objects one by one, as the rule says."""
+    letters = "AGCTNRYSWKMBDHV"
+    order = sorted(rows, key=lambda r: (-r[2], -len(r[1]), [-letters.index(c) for c in r[1]], r[0]))
+    place = {r[0]: n for n, r in enumerate(order)}
+    near = lambda a, b: len(a[1]) == len(b[1]) and sum(x != y for x, y in zip(a[1], b[1], strict=True)) <= edits
+    out = {}
+    for head in order:
+        if head[0] in out:
+            continue
+        out[head[0]] = (head[0], None, 0)
+        layer = [head]
+        for d in range(1, depth + 1):
+            following = []
+            for parent in layer:
+                mine = [c for c in order if c[0] not in out and c[2] < parent[2] and near(parent, c) and (not ratio or c[2] <= ratio * parent[2]) and (not accept or accept(parent[0], c[0]))]
+                for c in sorted(mine, key=lambda c: place[c[0]]):
+                    out[c[0]] = (head[0], parent[0], d)
+                following += sorted(mine, key=lambda c: place[c[0]])
+            layer = following
+    return out
+
+
+@pytest.mark.parametrize("edits, depth, ratio, odd", [(1, 1, 0.0, False), (1, 3, 0.0, False), (2, 2, 0.6, False), (1, 2, 0.0, True)])
+def test_clusters_against_visits_one_by_one(spark, edits, depth, ratio, odd):
+    rng = random.Random(edits * 10 + depth)
+    seqs = sorted({"".join(rng.choice("ACG") for _ in range(5)) for _ in range(130)})
+    rows = [(i, s, float(rng.randrange(1, 12))) for i, s in enumerate(seqs)]
+    accept = (lambda a, b: (a + b) % 3 > 0) if odd else None
+    by_row = (lambda head, other, hit: (head["id"] + other["id"]) % 3 > 0) if odd else None
+    strategy = cl.ClusteringStrategy(fz.SearchLimits(edits, 0, 0, edits), max_depth=depth, ratio=ratio, accept=by_row)
+    got = {r.id: (r.root_id, r.parent_id, r.depth) for r in cl.cluster(spark.createDataFrame(rows, "id long, seq string, weight double"), strategy).collect()}
+    assert got == _greedy(rows, edits, depth, ratio, accept)
+
+
+def test_join_unique_keeps_heavy_keys_whole(spark):
+    left = spark.range(5000).selectExpr("CASE WHEN id < 3000 THEN 1 ELSE id % 50 END AS k", "id AS v").union(spark.sql("SELECT cast(NULL AS long), -1L"))
+    right = left.groupBy("k").count().filter("k IS NOT NULL AND k <> 49").withColumnRenamed("count", "n").withColumn("name", F.concat(F.lit("k"), "k"))
+    for how in ("inner", "left"):
+        got = sorted(map(str, join_unique(left, right, "k", "n", how, heavy_keys=2, heavy_rows=30).select("k", "v", "name").collect()))
+        assert got == sorted(map(str, left.join(right, "k", how).select("k", "v", "name").collect()))
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
@@ -189,7 +233,7 @@ def test_cluster_query_takes_whole_reads(spark, tmp_path):
     """Every distinct read is an object of its own, though more reads than prefixes of 7 letters."""
     spark.range(20000).selectExpr("id AS doc_id", "concat('text ', id % 17000) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.QUERIES["cluster"](spark, str(tmp_path)).collect()
-    assert len(got) == len({r.id for r in got}) == 17000 > 4**7 and None not in {r.id for r in got}
+    assert len(got) == len({r.seq for r in got}) and len({r.root for r in got if r.depth == 0}) == 17000 > 4**7
 
 
 def test_merge_strategy():
