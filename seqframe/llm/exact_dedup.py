@@ -64,5 +64,5 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id")
     share text and doc_id are told apart by their other columns (the larger hash stays), and of rows equal in all columns one stays.
     An empty table gives no rows; columns of any name pass through.
     """
-    full = _digests(with_row_keys(docs).select(*ROW, F.col(key).alias("__id"), F.col(text).alias("__text")), 64, False)
+    full = _digests(with_row_keys(docs, __id=key, __text=text).select(*ROW, "__id", "__text"), 64, False)
     return keep_best(docs, full.df.filter("hit").select(F.col("digest").alias("group"), *ROW, "__id"), ["__id"])

@@ -220,9 +220,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     Rows that share a doc_id are told apart by the rest, and of rows equal in all columns one stays if they have shingles.  Null, empty
     and blank texts are near to nothing and all stay.  An empty table gives no rows; columns of any name pass through.
     """
-    rows = with_row_keys(docs)
-    ids = rows.select(*ROW, F.col(key).alias("__id"))
-    found = near_duplicates(rows.select(F.col(ROW[0]).alias("doc_id"), F.col(text).alias("text")), shingle, percent)
+    rows = with_row_keys(docs, __id=key, __text=text)
+    ids = rows.select(*ROW, "__id")
+    found = near_duplicates(rows.select(F.col(ROW[0]).alias("doc_id"), F.col("__text").alias("text")), shingle, percent)
     found = Stored(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("group"), F.count("*").alias("n")), "near")
     # components of one node that one row bears have nothing to drop
     sizes = Stored(found.df.groupBy("group").agg(F.sum("n").alias("n")).filter("n > 1"), "sizes")

@@ -75,10 +75,13 @@ def with_membership(df: DataFrame, ids: DataFrame, key: str | list[str] = "doc_i
 ROW = ["__row1", "__row2"]
 
 
-def with_row_keys(docs: DataFrame) -> DataFrame:
-    """docs and two 64-bit hashes of all its columns, nulls included: rows are told apart by what they hold, not by an id."""
-    every = [F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in docs.columns]
-    return docs.withColumns({ROW[0]: F.xxhash64(F.lit(1), *every), ROW[1]: F.xxhash64(F.lit(2), *every)})
+def with_row_keys(docs: DataFrame, **named: str) -> DataFrame:
+    """docs with its columns called c0, c1, .., so that no name clashes, and two 64-bit hashes of all of them, nulls included:
+    rows are told apart by what they hold, not by an id.  named: columns of docs to add under another name."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    every = [F.struct(F.col(c).isNull(), F.col(c)) for c in plain.columns]
+    extra = {name: F.col(f"c{docs.columns.index(c)}") for name, c in named.items()}
+    return plain.withColumns({ROW[0]: F.xxhash64(F.lit(1), *every), ROW[1]: F.xxhash64(F.lit(2), *every), **extra})
 
 
 def keep_best(docs: DataFrame, groups: DataFrame, best: list) -> DataFrame:
@@ -92,10 +95,9 @@ def keep_best(docs: DataFrame, groups: DataFrame, best: list) -> DataFrame:
     won = Stored(groups.groupBy("group").agg(F.max(rank).alias("w"), F.count("*").alias("n")), "winners")
     rows = join_unique(groups, won.df, "group", "n").withColumn("__won", F.struct(*best, *ROW).eqNullSafe(F.col("w")))
     judged = Stored(rows.groupBy(*ROW).agg(F.max("__won").alias("won"), F.count("*").alias("n")), "judged")
-    keyed = with_row_keys(docs)
+    keyed, own = with_row_keys(docs), [f"c{i}" for i in range(len(docs.columns))]
     twins = judged.df.filter("won AND n > 1")
-    out = with_membership(keyed, judged.df.filter("NOT won OR n > 1"), ROW, "__gone").filter("NOT __gone").select(*docs.columns)
-    if twins.isEmpty():
-        return out
-    one = with_membership(keyed, twins, ROW, "__twin").filter("__twin").dropDuplicates(ROW).select(*docs.columns)
-    return out.unionByName(one)
+    out = with_membership(keyed, judged.df.filter("NOT won OR n > 1"), ROW, "__gone").filter("NOT __gone").select(*own)
+    if not twins.isEmpty():
+        out = out.unionByName(with_membership(keyed, twins, ROW, "__twin").filter("__twin").dropDuplicates(ROW).select(*own))
+    return out.toDF(*docs.columns)
