@@ -14,6 +14,7 @@ from ..operators import reads as rd
 from ..operators import views
 from ..operators.storage import new_path
 from ..sources import reads as src
+from . import trimming_sql
 from .base import query, reads, reads_sql, table
 
 WITH = f"WITH {reads_sql()} "
@@ -114,7 +115,18 @@ def overlapping_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.overlapping_neighbours(rows, ["g"]).groupBy("g").agg(F.count("*").alias("overlaps"))
 
 
-@query()
+#: Least errors of the motif against a stretch that ends at each place, row by row; hits beside one with an error fewer are left out.
+MOTIF = f"""WITH RECURSIVE {reads_sql()}, dp(doc_id, seq, i, row) AS (
+  SELECT doc_id, seq, 0, range(0, 9) FROM reads
+  UNION ALL
+  SELECT doc_id, seq, i + 1, list_transform(range(0, 9), lambda j: list_min(list_slice(t, 1, j + 1)) + j) FROM (
+    SELECT doc_id, seq, i, list_transform(range(0, 9), lambda j: CASE WHEN j = 0 THEN 0 ELSE least(row[j] + CASE WHEN substr('ACGTTGCA', j, 1) = substr(seq, i + 1, 1) THEN 0 ELSE 1 END, row[j + 1] + 1) - j END) AS t FROM dp WHERE i < len(seq))),
+hits AS (SELECT doc_id, i - 1 AS position, row[9] AS errors FROM dp WHERE i > 0 AND row[9] <= 2)
+SELECT doc_id, CAST(position AS INTEGER) AS position, CAST(errors AS INTEGER) AS errors FROM hits h
+WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND abs(o.position - h.position) = 1 AND o.errors = h.errors - 1)"""
+
+
+@query(MOTIF)
 def motif_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = motif.indel_hits(F.col("seq"), "ACGTTGCA", 2, "last", False)
     return reads(spark, sf_dir).select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.position", "h.errors")
@@ -143,7 +155,14 @@ def resolved_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("doc_id", hashing.resolve_wildcards(F.concat(F.lit("NRY"), F.col("seq")), F.col("doc_id")).alias("seq"))
 
 
-@query()
+MATES = f"""WITH RECURSIVE {reads_sql()}, q1 AS (SELECT doc_id, qual AS q FROM reads), q2 AS (SELECT doc_id, list_reverse(qual) AS q FROM reads),
+{trimming_sql.islands('q1', 'one')}, {trimming_sql.islands('q2', 'two')},
+cut AS (SELECT doc_id, coalesce(substr(seq, a.lower + 1, a.upper - a.lower), '') AS r1_seq, coalesce(substr(translate(reverse(seq), 'ACGT', 'TGCA'), b.lower + 1, b.upper - b.lower), '') AS r2_seq,
+  CAST(coalesce(a.upper - a.lower, 0) AS INTEGER) AS n1 FROM reads LEFT JOIN one_best a USING (doc_id) LEFT JOIN two_best b USING (doc_id))
+SELECT * FROM cut WHERE r1_seq <> '' OR r2_seq <> ''"""
+
+
+@query(MATES)
 def trimmed_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.trimming import TrimParameters
 

@@ -15,6 +15,7 @@ from ..operators import batch_alignment as ba
 from ..operators import clustering as cl
 from ..operators import fuzzy as fz
 from . import scores_sql as dp
+from . import trimming_sql
 from .base import query, reads, reads_sql, seq_of, table
 
 WITH = f"WITH {reads_sql()} "
@@ -161,13 +162,16 @@ def batch_align_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.brute_force(queries.filter("query_id % 100 = 0"), refs, cut=ba.HitCut(60, 0.9, 3))
 
 
-@query()
+SOURCE = f"{RECURSIVE}, src AS (SELECT doc_id, qual AS q FROM reads), {trimming_sql.islands('src')} "
+
+
+@query(SOURCE + "SELECT doc_id, lower, upper FROM reads LEFT JOIN islands_best USING (doc_id)")
 def best_island(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tr.best_island_range(F.col("qual"), tr.TrimParameters(8.0, 4))
     return reads(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", "r.lower", "r.upper")
 
 
-@query()
+@query(SOURCE + "SELECT doc_id, lower, upper FROM islands")
 def quality_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.explode(tr.island_ranges(F.col("qual"), tr.TrimParameters(8.0, 4)))
     return reads(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", "r.lower", "r.upper")
@@ -190,7 +194,11 @@ def _struct(seq: Column, qual: Column) -> Column:
     return F.struct(seq.alias("seq"), qual.alias("qual"))
 
 
-@query()
+@query(
+    f"""WITH {reads_sql()}, {reads_sql('#2', 'mates')}
+  SELECT a.doc_id, true AS merged, a.seq || b.seq AS seq, a.qual[1:24] || list_transform(a.qual[25:32] || b.qual[1:8], lambda x: least(50, 2 * x)) || b.qual[9:32] AS qual,
+  CAST(16 AS INTEGER) AS overlap, CAST(0 AS INTEGER) AS errors, true AS reversed, CAST(24 AS INTEGER) AS "offset", CAST(1 AS DOUBLE) AS identity, CAST(32 AS INTEGER) AS score FROM reads a JOIN mates b USING (doc_id)"""
+)
 def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mates planted on a sequence of 64 letters with an overlap of 16."""
     a, b = reads(spark, sf_dir), reads(spark, sf_dir, "#2").select("doc_id", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
@@ -224,6 +232,34 @@ def mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", "mutated", mu.mutate_column(F.col("mutated"), mu.invert_column(m)).alias("back"), mu.to_seq2_column(m, F.lit(10)).alias("deleted_to_seq2"), mu.to_seq2_column(m, F.lit(16)).alias("p16"))
 
 
+_SUB = "translate(substr(seq, 4, 1), 'ACGT', 'CGTA')"
+
+
+@query(WITH + f"SELECT doc_id, 'T' || substr(x, 2, 4) || substr(x, 7, 14) || 'C' || substr(x, 21) AS \"both\", true AS same FROM (SELECT doc_id, substr(seq, 1, 3) || {_SUB} || substr(seq, 5, 6) || substr(seq, 12, 9) || 'G' || substr(seq, 21) AS x FROM reads)")
+def mutations_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutations of a mutated read, combined with those that made it."""
+    once = _muts(spark, sf_dir).withColumn("x", mu.mutate_column(F.col("seq"), F.col("muts")))
+    at = lambda i: F.substring("x", i, 1)
+    first = F.when(at(1) == "T", F.lit("")).otherwise(F.concat(F.lit("S"), at(1), F.lit("0T")))
+    twice = once.withColumn("more", F.concat(first, F.lit("D"), at(6), F.lit("5I20C")))
+    twice = twice.withColumn("both", mu.mutate_column(F.col("seq"), mu.combine_column(F.col("muts"), F.col("more"))))
+    return twice.select("doc_id", "both", (F.col("both") == mu.mutate_column(F.col("x"), F.col("more"))).alias("same"))
+
+
+@query(WITH + f"SELECT doc_id, substr(seq, 3, 1) || {_SUB} || substr(seq, 5, 6) || substr(seq, 12, 1) AS part FROM reads")
+def mutations_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stretch of a read becomes: letters 2 to 12."""
+    inside = mu.in_range_column(F.col("muts"), F.lit(2), F.lit(12))
+    return _muts(spark, sf_dir).select("doc_id", mu.mutate_column(F.substring("seq", 3, 10), inside).alias("part"))
+
+
+@query(WITH + f"SELECT doc_id, {MUTS} AS muts FROM reads")
+def mutations_from_btop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.substring("seq", i, 1)
+    text = F.concat(F.lit("3"), F.translate(at(4), "ACGT", "CGTA"), at(4), F.lit("6-"), at(11), F.lit("9G-"))
+    return reads(spark, sf_dir).select("doc_id", mu.btop_column(text).alias("muts"))
+
+
 #: Objects of the clustering: distinct reads (weight 8) and forms of them with one letter changed (weight 3) and two (weight 1).
 CLUSTERS = (
     WITH

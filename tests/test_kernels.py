@@ -263,3 +263,21 @@ def test_free_edges_and_stop():
     a, b = "ACGTACGT" + "T" * 10 + "ACGTACGTACGT", "ACGTACGT" + "G" * 10 + "ACGTACGTACGT"
     assert al.align([(a, b)], s, "left")[0].range1 == (0, 30)
     assert al.align([(a, b)], s, "left", ends=al.Ends(stop_penalty=-40))[0].range1 == (0, 8)
+
+
+def test_trimming_of_batches_equals_scans_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        p = tr.TrimParameters(float(rng.integers(3, 14)), int(rng.integers(1, 7)))
+        quals = [np.repeat(rng.integers(0, 16, 30), rng.integers(1, 6))[: rng.integers(0, 40)] for _ in range(5)]
+        batch = tr.Reads(quals, p)
+        pieces = [[] for _ in quals]
+        for row, lower, upper in zip(*(x.tolist() for x in batch.islands()), strict=True):
+            pieces[row].append((lower, upper))
+        best, cut = ({r: (a, b) for r, a, b in zip(*(x.tolist() for x in f()), strict=True)} for f in (batch.best, batch.trimmed))
+        for i, q in enumerate(quals):
+            assert pieces[i] == tr.islands(q, p)
+            assert best.get(i) == tr.best_island(q, p)
+            assert cut.get(i) == (tr.trim(q, p) if len(q) else None)
+            for lower, upper in pieces[i]:  # every window of an island's middle is good, and so are its ends
+                assert upper - lower >= p.window and q[lower:upper].mean() >= p.average_quality - 1 / p.window
