@@ -274,6 +274,23 @@ def digest_items(marks: DataFrame) -> DataFrame:
     return marks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
 
 
+def _clean(phrases):
+    """A column function: whether a text holds none of the broadcast phrases."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            flags = [np.zeros(0, dtype=bool)]
+            for part in tc.blocks(iter([pa.record_batch([column], names=["text"])]), "text", SHARD_BYTES):
+                words = tc.alnum_words(part.column("text"))
+                place, _ = occurrences(words, phrases.value)
+                flags.append(np.ones(part.num_rows, dtype=bool))
+                flags[-1][np.searchsorted(words.first, place, side="right") - 1] = False
+            yield pa.array(np.concatenate(flags))
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4 << 20, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """docs without the rows whose text holds a window of a benchmark item; its own columns.
 
@@ -281,19 +298,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, b
     don't matter.  Null and empty texts stay, as do all texts if the benchmark is empty; repeated rows share their fate, columns of any
     name pass through, an empty table gives no rows.
     """
-    sc, schema = docs.sparkSession.sparkContext, docs.schema
+    sc = docs.sparkSession.sparkContext
     for i, block in enumerate(_blocks(benchmark, block_chars, item_text, item_key)):
         if i:  # one pass at a time, so that a task holds one block's phrases
             docs = Stored(docs, "clean").df
-        phrases = sc.broadcast(Phrases(block, window))
-
-        def keep(batches, phrases=phrases):
-            for part in tc.blocks(batches, text, SHARD_BYTES):
-                words = tc.alnum_words(part.column(text))
-                place, _ = occurrences(words, phrases.value)
-                clean = np.ones(part.num_rows, dtype=bool)
-                clean[np.searchsorted(words.first, place, side="right") - 1] = False
-                yield part.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(keep, schema)
+        docs = docs.filter(_clean(sc.broadcast(Phrases(block, window)))(F.col(f"`{text}`")))
     return docs

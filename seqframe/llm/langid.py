@@ -12,6 +12,7 @@ whole of a dictionary that its window covers, and the window is set to hold the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -127,12 +128,15 @@ def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], piece_bytes:
     """
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def keep(batches):
+    @F.arrow_udf("boolean")
+    def clear(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         models = Compressors(model.value)
-        for block in tc.blocks(batches, text):
-            yield block.filter(pa.array([not classify(t, models, piece_bytes, min_margin)[3] for t in block.column(text).to_pylist()], pa.bool_()))
+        for column in texts:
+            out = [not classify(t.as_py(), models, piece_bytes, min_margin)[3] for t in column]
+            tc.give_back()
+            yield pa.array(out, pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.filter(clear(F.col(f"`{text}`")))
 
 
 def held_out(key: str = "doc_id"):
