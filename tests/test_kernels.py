@@ -226,7 +226,7 @@ def test_positions_and_views():
 
 
 def test_translated_mutations():
-    assert mu.encode(mu.to_amino("ATTAGACAT", mu.decode("SA3C"))) == "SR1R" or mu.to_amino("ATTAGACAT", mu.decode("SA3C")) == []
+    assert mu.to_amino("ATTAGACAT", mu.decode("SA3C")) == []  # AGA and CGA both are R
     assert mu.encode(mu.to_amino("ATTAAACAT", mu.decode("SA4C"))) == "SK1T"
     assert mu.to_amino("ATT" * 10, mu.decode("DA0")) is None
 
