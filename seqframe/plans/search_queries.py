@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,21 +147,29 @@ def _queries_and_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return queries, refs
 
 
+def _between_classes(queries: DataFrame, refs: DataFrame, aligned: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Hits between classes of equal sequences, each under its smallest id, with the numbers of their rows."""
+    group = lambda df, name: df.groupBy("seq").agg(F.min(f"{name}_id").alias(f"{name}_id"), F.count("*").alias(f"{name}_rows"))
+    q, r = group(queries, "query"), group(refs, "ref")
+    hits = aligned(q.drop("query_rows"), r.drop("ref_rows"))
+    return hits.join(q.drop("seq"), "query_id").join(r.drop("seq"), "ref_id")
+
+
 @query()
 def seed_vote_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ba.seed_align(*_queries_and_refs(spark, sf_dir), ba.PRESETS["strict"]).drop("start")
+    return _between_classes(*_queries_and_refs(spark, sf_dir), lambda q, r: ba.seed_align(q, r, ba.PRESETS["strict"]).drop("start"))
 
 
 @query()
 def seed_clustered_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ba.clustered_align(*_queries_and_refs(spark, sf_dir)).drop("start")
+    return _between_classes(*_queries_and_refs(spark, sf_dir), lambda q, r: ba.clustered_align(q, r).drop("start"))
 
 
 @query()
 def batch_align_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, refs = _queries_and_refs(spark, sf_dir)
     """Query ids divisible by 100 against all references."""
-    return ba.brute_force(queries.filter("query_id % 100 = 0"), refs, cut=ba.HitCut(60, 0.9, 3))
+    queries, refs = _queries_and_refs(spark, sf_dir)
+    return _between_classes(queries.filter("query_id % 100 = 0"), refs, lambda q, r: ba.brute_force(q, r, cut=ba.HitCut(60, 0.9, 3)))
 
 
 SOURCE = f"{RECURSIVE}, src AS (SELECT doc_id, qual AS q FROM reads), {trimming_sql.islands('src')} "

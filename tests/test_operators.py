@@ -208,6 +208,36 @@ def test_best_hit_among_many_candidates(spark):
     assert {x.ref_id for x in ba.seed_align(queries, table, p).filter("rank = 1").collect()} == {99}
 
 
+@pytest.mark.parametrize(("holes", "drift"), [(0, 4), (1, 2), (0, 0)])
+def test_votes_of_blocks_against_a_join_of_all_seeds(spark, holes, drift):
+    """Any cut into blocks gives what counting every pair of equal words gives; null, empty and short sequences meet nothing."""
+    refs, queries = ba.challenge(spark, refs=12, queries=30, query_size=40, edits=5, seed=holes + drift)
+    extra = spark.createDataFrame([(90, None), (91, ""), (92, "ACG"), (93, "A" * 60)], "id long, seq string")
+    refs = refs.union(extra)
+    queries = queries.select("query_id", "seq").union(extra)
+    p = ba.SeedParameters(k=4, holes=holes, max_drift=drift, min_votes=2, relative_votes=0.5)
+    seeds = lambda df, key: {r[0]: [(s.at, s.word) for s in r[1] or ()] for r in df.select(key, ba.seeds(F.col("seq"), p.k, p.holes)).collect()}
+    asked, against, width = seeds(queries, "query_id"), seeds(refs, "ref_id"), 2 * drift + 1
+    want = []
+    for q, mine in asked.items():
+        found = {}
+        for r, theirs in against.items():
+            windows = {}
+            for at, word in mine:
+                for place in (x for x, other in theirs if other == word):
+                    for w in {(0, (place - at) // width), (1, (place - at + drift) // width)}:
+                        windows.setdefault(w, []).append((at, place - at))
+            each = [(len({at for at, _ in x}), min(s for _, s in x), max(s for _, s in x)) for x in windows.values()]
+            if each and max(each)[0] >= p.min_votes:
+                found[r] = max(each)
+        want += [(q, r, *v) for r, v in found.items() if v[0] >= 0.5 * max(f[0] for f in found.values())]
+    assert want
+    for letters in (1 << 17, 300):
+        assert sorted(tuple(x) for x in ba.map_seeds(queries, refs, p, block_letters=letters).collect()) == sorted(want)
+    none = refs.limit(0)
+    assert ba.map_seeds(queries, none, p).count() == ba.map_seeds(queries.limit(0), refs, p).count() == 0
+
+
 def test_alignment_queries_read_every_document(spark, tmp_path):
     """A reference whose id 50 does not divide is the best hit of query 100, and queries of other ids are answered."""
     rows = [(i, f"text {i}") for i in range(1, 60)] + [(100, "text 7")]
