@@ -86,6 +86,12 @@ class AffineScoring:
     def nucleotide(match: int = 5, mismatch: int = -4, open_: int = -10, extend: int = -1) -> AffineScoring:
         return AffineScoring(simple_matrix(match, mismatch), open_, extend)
 
+    @staticmethod
+    def igblast() -> AffineScoring:
+        """Nucleotide scores for V genes."""
+        #: Match, mismatch, opening and extension of a gap.
+        return AffineScoring.nucleotide(10, -30, -40, -10)
+
 
 Scoring = LinearScoring | AffineScoring
 

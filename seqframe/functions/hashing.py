@@ -49,6 +49,35 @@ def jenkins_wang32(key: np.ndarray) -> np.ndarray:
     return k.view(np.int32)
 
 
+def wang64to32(key: np.ndarray) -> np.ndarray:
+    """Wang's mix of int64 to int32."""
+    k = np.atleast_1d(np.asarray(key, dtype=np.int64)).view(_U64).copy()
+    k = ~k + (k << _U64(18))
+    k ^= k >> _U64(31)
+    k *= _U64(21)
+    k ^= k >> _U64(11)
+    k += k << _U64(6)
+    k ^= k >> _U64(22)
+    return k.astype(_U32).view(np.int32)
+
+
+def jenkins_mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Bob Jenkins's reversible mix of three int32 (1997): the last of them."""
+    a, b, c = (np.atleast_1d(np.asarray(x, dtype=np.int32)).view(_U32).copy() for x in (a, b, c))
+    #: Shifts right, left, right of each round.
+    for right, left, back in ((13, 8, 13), (12, 16, 5), (3, 10, 15)):
+        a = (a - b - c) ^ (c >> _U32(right))
+        b = (b - c - a) ^ (a << _U32(left))
+        c = (c - a - b) ^ (b >> _U32(back))
+    return c.view(np.int32)
+
+
+def fnv64to32(key: int) -> int:
+    """FNV-1a, 32 bits, of a signed 64-bit number's bytes from the highest on; a signed number."""
+    h = fnv(int(key).to_bytes(8, "big", signed=True), 32)
+    return h - (h >> 31 << 32)
+
+
 def fnv(data: bytes, bits: int = 64) -> int:
     """FNV-1a."""
     #: Offset basis and prime.

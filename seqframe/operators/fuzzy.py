@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mutations import Mutation, encode
 from ..functions.sequence import mismatch_count
 
 #: Default penalties of a mismatch, a deletion and an insertion.
@@ -64,16 +65,23 @@ def edit_sequences(limits: SearchLimits) -> list[tuple[int, ...]]:
 Guide = Callable[[str, int, int, str | None], bool]
 
 
-def best_match(query: str, key: str, limits: SearchLimits, guide: Guide | None = None) -> tuple[float, int, int, int] | None:
+def best_match(query: str, key: str, limits: SearchLimits, guide: Guide | None = None, came: dict | None = None) -> tuple[float, int, int, int] | None:
     """(penalty, mismatches, deletions, insertions) of the cheapest way from query to key within the limits, or None.
 
     An insertion never follows a deletion directly (that is a mismatch); when greedy, neither a deletion nor a mismatch follows
-    an insertion.  guide(query, position, kind, letter) may refuse an edit.
+    an insertion.  guide(query, position, kind, letter) may refuse an edit.  came, if given, is filled with the step that first led
+    to each (place in query, place in key, state).
     """
     caps = (limits.mismatches, limits.deletions, limits.insertions)
     # states: (mismatches, deletions, insertions, last edit or -1 for a match) by cell, row by row
     n, m = len(query), len(key)
     row: dict[int, set] = {0: {(0, 0, 0, -1)}}
+
+    def reach(cells: dict[int, set], to: tuple, step: tuple) -> None:
+        cells.setdefault(to[1], set()).add(to[2])
+        if came is not None:
+            came.setdefault(to, step)
+
     for i in range(n + 1):
         following: dict[int, set] = {}
         for j in range(max(0, i - limits.deletions), min(m, i + limits.insertions) + 1):
@@ -85,24 +93,44 @@ def best_match(query: str, key: str, limits: SearchLimits, guide: Guide | None =
                     if at < m and c[2] < caps[2] and sum(c) < limits.edits and l != DELETION and (guide is None or guide(query, i, INSERTION, key[at])):
                         nc = (c[0], c[1], c[2] + 1)
                         if (*nc, INSERTION) not in row.setdefault(at + 1, set()):
-                            row[at + 1].add((*nc, INSERTION))
+                            reach(row, (i, at + 1, (*nc, INSERTION)), (i, at, (*c, l)))
                             todo.append((nc, INSERTION, at + 1))
         if i == n:
             break
         for j, states in row.items():
-            for a, d, x, last in states:
+            for a, d, x, last in sorted(states):
+                here = (i, j, (a, d, x, last))
                 if j < m and query[i] == key[j]:
-                    following.setdefault(j + 1, set()).add((a, d, x, -1))
+                    reach(following, (i + 1, j + 1, (a, d, x, -1)), here)
                 elif j < m and a < caps[0] and a + d + x < limits.edits and not (limits.greedy and last == INSERTION) and (guide is None or guide(query, i, MISMATCH, key[j])):
-                    following.setdefault(j + 1, set()).add((a + 1, d, x, MISMATCH))
+                    reach(following, (i + 1, j + 1, (a + 1, d, x, MISMATCH)), here)
                 if d < caps[1] and a + d + x < limits.edits and not (limits.greedy and last == INSERTION) and (guide is None or guide(query, i, DELETION, None)):
-                    following.setdefault(j, set()).add((a, d + 1, x, DELETION))
+                    reach(following, (i + 1, j, (a, d + 1, x, DELETION)), here)
         row = following
     cost = limits.penalties
     ends = [(round(a * cost[0] + d * cost[1] + x * cost[2], 9), a, d, x) for a, d, x, _ in row.get(m, ())]
     return min((e for e in ends if e[0] <= limits.bound + 1e-9), default=None)
 
 
+def hit_mutations(query: str, key: str, limits: SearchLimits, guide: Guide | None = None) -> list[Mutation] | None:
+    """The mutations of best_match's way, which turn query into key; None where nothing is within the limits."""
+    came: dict = {}
+    best = best_match(query, key, limits, guide, came)
+    if best is None:
+        return None
+    at = min((to for to in came if to[:2] == (len(query), len(key)) and to[2][:3] == best[1:]), default=(0, 0, (0, 0, 0, -1)))
+    out = []
+    while at[:2] != (0, 0):
+        (i, j, counts), at = at, came[at]
+        if at[0] == i:
+            out.append(Mutation("I", i, None, key[j - 1]))
+        elif at[1] == j:
+            out.append(Mutation("D", i - 1, query[i - 1], None))
+        elif counts[0] > at[2][0]:
+            out.append(Mutation("S", i - 1, query[i - 1], key[j - 1]))
+    return out[::-1]
+
+
 def _segments(length: Column, parts: int) -> Column:
     """array<struct(part, start, size)> that cut a sequence into parts of nearly equal size."""
     at = lambda i: F.floor(length * i / parts).cast("int")
@@ -171,6 +199,18 @@ def hit_column(query: Column, key: Column, limits: SearchLimits, guide: Guide |
     return run(query, key)
 
 
+def hit_mutations_column(query: Column, key: Column, limits: SearchLimits, guide: Guide | None = None) -> Column:
+    """hit_mutations as text, for pairs that a fuzzy join found; null for nulls and pairs beyond the limits."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for qs, ks in batches:
+            found = [None if a is None or b is None else hit_mutations(a, b, limits, guide) for a, b in zip(qs, ks, strict=True)]
+            yield pd.Series([None if x is None else encode(x) for x in found], dtype=object)
+
+    return run(query, key)
+
+
 def neighbours_in_order(hits: DataFrame, by: list[str]) -> DataFrame:
     """Hits of each query by penalty, then by key order."""
     return hits.orderBy(*by, "penalty")

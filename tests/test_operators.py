@@ -208,6 +208,33 @@ def test_best_hit_among_many_candidates(spark):
     assert {x.ref_id for x in ba.seed_align(queries, table, p).filter("rank = 1").collect()} == {99}
 
 
+@pytest.mark.parametrize("greedy", [False, True])
+def test_mutations_of_a_hit_lead_from_query_to_key(greedy):
+    rng = random.Random(17)
+    found = 0
+    for _ in range(300):
+        a = "".join(rng.choice("ACG") for _ in range(rng.randint(0, 8)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "C"])
+        b = "".join(b)
+        limits = fz.SearchLimits(2, 2, 2, 3, greedy=greedy)
+        best, way = fz.best_match(a, b, limits), fz.hit_mutations(a, b, limits)
+        assert (best is None) == (way is None)
+        if best:
+            found += 1
+            assert mu.mutate(a, way) == b and mu.is_compatible(a, way)
+            assert tuple(sum(m.kind == k for m in way) for k in "SDI") == best[1:]
+    assert found > 200
+
+
+def test_mutations_of_hits_as_a_column(spark):
+    pairs = spark.createDataFrame([("ACGT", "AGGT"), ("ACGT", "ACG"), ("ACGT", "ACGT"), ("ACGT", "TTTT"), (None, "A")], "q string, k string")
+    got = [r.m for r in pairs.select(fz.hit_mutations_column(F.col("q"), F.col("k"), fz.SearchLimits(1, 1, 1, 1)).alias("m")).collect()]
+    assert got == ["SC1G", "DT3", "", None, None]
+
+
 @pytest.mark.parametrize(("holes", "drift"), [(0, 4), (1, 2), (0, 0)])
 def test_votes_of_blocks_against_a_join_of_all_seeds(spark, holes, drift):
     """Any cut into blocks gives what counting every pair of equal words gives; null, empty and short sequences meet nothing."""

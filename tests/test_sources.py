@@ -142,6 +142,30 @@ def test_hash_values():
     assert hashing.murmur2(b"hello") == hashing.murmur2(b"hello") != hashing.murmur2(b"hellp")
 
 
+def test_narrowing_hashes_and_mix():
+    """Against the published definitions, written with whole numbers."""
+    rng = random.Random(9)
+    signed = lambda x, bits: (x + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1)
+    for key in [0, 1, -1, (1 << 63) - 1, -(1 << 63), *(rng.randrange(-(1 << 63), 1 << 63) for _ in range(50))]:
+        k, mask = key % (1 << 64), (1 << 64) - 1
+        k = (~k + (k << 18)) & mask
+        k ^= k >> 31
+        k = k * 21 & mask
+        k ^= k >> 11
+        k = (k + (k << 6)) & mask
+        assert hashing.wang64to32(key).tolist() == [signed(k ^ k >> 22, 32)]
+        assert hashing.fnv64to32(key) == signed(hashing.fnv((key % (1 << 64)).to_bytes(8, "big"), 32), 32)
+    mask = (1 << 32) - 1
+    for _ in range(50):
+        given = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(3)]
+        a, b, c = (x & mask for x in given)
+        for right, left, back in ((13, 8, 13), (12, 16, 5), (3, 10, 15)):
+            a = ((a - b - c) & mask) ^ c >> right
+            b = ((b - c - a) & mask) ^ (a << left & mask)
+            c = ((c - a - b) & mask) ^ b >> back
+        assert hashing.jenkins_mix(*given).tolist() == [signed(c, 32)]
+
+
 def test_fragments(spark):
     rng = random.Random(6)
     whole = "".join(rng.choice("ACGT") for _ in range(60))
