@@ -14,21 +14,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014).  Each step takes each node's least neighbour by a partial
     aggregate and hands it to the node's edges; edges of hubs get it by a broadcast of bounded size, so that no hub's edges are
-    gathered in one task.  Edges are written to the shared folder after each step.
+    gathered in one task.  Edges are written to the shared folder after each step.  The same aggregate tells whether all edges
+    are stars: no node with a smaller neighbour has another neighbour; then each node's root is itself or that neighbour.
     """
     now = Stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
-    sign = None
     while True:
         both = now.df.union(now.df.select("v", "u"))
-        low = Stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "low")
-        one = Stored(join_unique(both, low.df, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
+        below = F.count(F.when(F.col("v") < F.col("u"), 1))
+        low = Stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"), below.alias("below")), "low")
+        seen = low.df.agg(F.max((F.col("below") > 0) & (F.col("n") > 1)).alias("open"), F.max("n").alias("most")).first()
+        if not seen["open"]:
+            now.drop()
+            return low.df.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        given = join_unique(both, low.df.select("u", "m", "n"), "u", "n", most=seen["most"])
+        one = Stored(given.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
         least = Stored(one.df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         down = join_unique(one.df, least.df, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         two = Stored(down.union(least.df.select("u", "m")).distinct(), "small")
-        row = two.df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
         for t in (now, low, one, least):
             t.drop()
-        now, before, sign = two, sign, (row["n"], row["h"])
-        if sign == before or not row["n"]:
-            stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+        now = two
