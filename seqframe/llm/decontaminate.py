@@ -197,15 +197,18 @@ def _scan(batches, phrases: Phrases, keep: list[str]):
         spans: list[list] = [[] for _ in range(block.num_rows)]
         items: list[list[str]] = [[] for _ in range(block.num_rows)]
         hits = np.zeros(block.num_rows, dtype=np.int64)
-        for d in np.unique(doc).tolist():
-            mine = doc == d
+        order = np.argsort(doc, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(doc[order], prepend=-1)), len(order)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = order[a:b]
+            d = int(doc[mine[0]])
             base, n = words.first[d], words.first[d + 1] - words.first[d]
             edge = np.zeros(n + 1, dtype=np.int64)
             np.add.at(edge, place[mine] - base, 1)
             np.add.at(edge, place[mine] - base + phrases.lengths[which[mine]], -1)
             merged = tc.spans_of(np.cumsum(edge[:-1]) > 0)
             hits[d] = int((merged[:, 1] - merged[:, 0]).sum())
-            spans[d] = [{"first_word": a, "end_word": b, "start_byte": int(words.starts[base + a] - words.offsets[d]), "end_byte": int(words.ends[base + b - 1] - words.offsets[d])} for a, b in merged.tolist()]
+            spans[d] = [{"first_word": x, "end_word": y, "start_byte": int(words.starts[base + x] - words.offsets[d]), "end_byte": int(words.ends[base + y - 1] - words.offsets[d])} for x, y in merged.tolist()]
             found = {o for p in np.unique(which[mine]).tolist() for o in phrases.owners[phrases.owner_first[p] : phrases.owner_first[p + 1]].tolist()}
             items[d] = sorted({phrases.names[i] for i in found})
         span_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("first_word", "end_word", "start_byte", "end_byte")]))

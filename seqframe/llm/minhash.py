@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import ROW, Stored, bitmap, components, join_unique, keep_best, maybe_in, with_membership, with_row_keys
+from .shared import ROW, Stored, bitmap, bits_for, components, join_unique, keep_best, maybe_in, with_membership, with_row_keys
 
 _SEEDS = tc.mix64(np.arange(1, 4097, dtype=tc.U64) * tc.U64(0x9E3779B97F4A7C15))
 
@@ -73,10 +73,11 @@ def _sketch(batches, k: int, coords: int):
         yield pa.record_batch([block.column("doc_id"), pa.array(sizes), pa.array(tc.signed(whole)), lists], names=["doc_id", "n", "whole", "sig"])
 
 
-def _full_sets(batches, k: int, coords: int):
+def _full_sets(batches, k: int):
     for block in tc.blocks(batches, "text"):
         sets = list(tc.shingle_sets(tc.space_words(block.column("text"), lower=True), k))
-        yield pa.record_batch([block.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+        whole = np.array([tc.sequence_hash(s) for s in sets], dtype=tc.U64)
+        yield pa.record_batch([block.column("doc_id"), pa.array(tc.signed(whole)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "whole", "items"])
 
 
 def collisions(sigs: np.ndarray, left: np.ndarray, threshold: int):
@@ -180,32 +181,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     a doc_id get a null component and are kept.  An empty table gives no rows; other columns are ignored.
     """
     threshold = match_threshold(coords, percent / 100)
+    cls = ["rep", "whole"]  # a class: a doc_id may stand on several texts
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = Stored(base.mapInArrow(lambda it: _sketch(it, shingle, coords), "doc_id long, n long, whole long, sig array<int>"), "sketch")
     named = sketch.df.filter("n > 0 AND doc_id IS NOT NULL")
     classes = Stored(named.groupBy("whole", "n", "sig").agg(F.min("doc_id").alias("rep")), "classes")
-    postings = classes.df.select("rep", F.posexplode("sig").alias("coord", "value"))
+    postings = classes.df.select(*cls, F.posexplode("sig").alias("coord", "value"))
     lists = Stored(postings.groupBy("coord", "value").agg(F.count("*").alias("len")).filter("len > 1"), "lists")
-    shared = maybe_in(postings, bitmap(lists.df, "coord", "value"), "coord", "value").join(lists.df, ["coord", "value"])
-    mine = Window.partitionBy("rep")
+    bits = bits_for(lists.df.count())
+    shared = maybe_in(postings, bitmap(lists.df, "coord", "value", bits=bits), "coord", "value", bits=bits).join(lists.df, ["coord", "value"])
+    mine = Window.partitionBy(*cls)
     ranked = shared.withColumns({"have": F.count("*").over(mine), "at": F.row_number().over(mine.orderBy("len", "coord"))})
-    prefix = Stored(ranked.filter(F.col("at") <= F.col("have") - threshold + 1).select("rep", "coord", "value"), "prefix")
+    prefix = Stored(ranked.filter(F.col("at") <= F.col("have") - threshold + 1).select(*cls, "coord", "value"), "prefix")
     heads = prefix.df.groupBy("coord", "value").agg(F.min("rep").alias("head"), F.count("*").alias("len")).filter("len > 1")
     stars = prefix.df.join(heads, ["coord", "value"]).select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
-    cluster = Stored(components(stars).join(classes.df.select(F.col("rep").alias("node"), "n", "sig"), "node"), "clusters")
+    cluster = Stored(components(stars).join(classes.df.select(F.col("rep").alias("node"), "whole", "n", "sig"), "node"), "clusters")
     prefix.drop()
     lists.drop()
     sized = cluster.df.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_items)).cast("int").alias("cut"))
     placed = cluster.df.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
-    sets = maybe_in(base.withColumnRenamed("doc_id", "node"), bitmap(cluster.df, "node"), "node").withColumnRenamed("node", "doc_id")
-    sets = sets.mapInArrow(lambda it: _full_sets(it, shingle, coords), "node long, items binary").dropDuplicates(["node"])
+    bits = bits_for(cluster.df.count())
+    sets = maybe_in(base.withColumnRenamed("doc_id", "node"), bitmap(cluster.df, "node", bits=bits), "node", bits=bits).withColumnRenamed("node", "doc_id")
+    sets = sets.mapInArrow(lambda it: _full_sets(it, shingle), "node long, whole long, items binary").dropDuplicates(["node", "whole"])
     other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
-    units = placed.join(sets, "node").select("root", "node", "sig", "items", "block", other.alias("other"))
+    units = placed.join(sets, ["node", "whole"]).select("root", "node", "sig", "items", "block", other.alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     units = units.select(F.xxhash64("root", low, high).alias("unit"), "node", (F.col("block") < F.col("other")).alias("is_left"), "items", "sig")
+    # a doc_id on several texts ties their classes
+    texts = named.groupBy("doc_id").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("doc_id")
+    ties = named.join(texts, "doc_id").select("doc_id", "whole", "n").join(classes.df.select("whole", "n", "rep"), ["whole", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = Stored(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda it: _confirm(it, percent, threshold), "a long, b long"), "links")
     cluster.drop()
-    found = components(links.df)
+    found = components(links.df.unionByName(ties.filter("a <> b")))
     kin = classes.df.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("whole", "n", "sig", F.coalesce("root", "rep").alias("root"))
     linked = sketch.df.join(kin.select("whole", "n", "root"), ["whole", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))

@@ -49,15 +49,31 @@ def window_anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarra
     return tc.window_hashes(words, window), low
 
 
+#: Vector rounds of _nearest_smaller before what is left is settled by a stack.
+JUMPS = 24
+
+
 def _nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest one to its left with a smaller value, or -1, by jumps over places known to be no smaller."""
+    """For each place the nearest one to its left with a smaller value, or -1.
+
+    Most places need a few jumps over places known to be no smaller.  Orders that rise and then fall would need one jump a
+    place each, so after JUMPS rounds one pass with a stack, in time linear in the places, settles the rest.
+    """
     cur = np.arange(len(values)) - 1
     todo = np.arange(len(values))
-    while len(todo):
+    for _ in range(JUMPS):
         at = cur[todo]
         todo = todo[(at >= 0) & (values[np.maximum(at, 0)] >= values[todo])]
+        if not len(todo):
+            return cur
         cur[todo] = cur[cur[todo]]
-    return cur
+    every, out, stack = values.tolist(), [], []
+    for i, v in enumerate(every):
+        while stack and every[stack[-1]] >= v:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return np.array(out, dtype=np.int64)
 
 
 class SuffixArray:
@@ -66,12 +82,12 @@ class SuffixArray:
     def __init__(self, symbols: np.ndarray):
         self.n = n = len(symbols)
         found, rank = np.unique(symbols, return_inverse=True)
-        self.ranks, width = [rank], 1
+        self.ranks, width = [rank.astype(np.int32)], 1
         while len(found) < n:
             after = np.zeros(n, dtype=np.int64)
             after[: n - width] = rank[width:] + 1
             found, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
-            self.ranks.append(rank)
+            self.ranks.append(rank.astype(np.int32))
             width *= 2
         self.order = np.empty(n, dtype=np.int64)
         self.order[rank] = np.arange(n)
@@ -186,16 +202,19 @@ def _anchor_counts(batches, window: int, gram: int):
             yield pa.record_batch([pa.array(tc.signed(anchors)), pa.array(counts)], names=["anchor", "n"])
 
 
-def _joined(spans: np.ndarray) -> np.ndarray:
-    """Overlapping or touching spans, sorted by start, as one."""
+def _joined(spans: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping or touching spans of one owner as one, sorted by owner and start, and their owners."""
+    owner = np.zeros(len(spans), dtype=np.int64) if owner is None else owner.astype(np.int64)
     if not len(spans):
-        return spans.reshape(0, 2).astype(np.int32)
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.ones(len(spans), dtype=bool)
-    new[1:] = spans[1:, 0] > reach[:-1]
-    begin = np.flatnonzero(new)
-    return np.stack([spans[begin, 0], np.maximum.reduceat(spans[:, 1], begin)], axis=1).astype(np.int32)
+        return spans.reshape(0, 2).astype(np.int32), owner
+    order = np.lexsort((spans[:, 1], spans[:, 0], owner))
+    owner, begin, end = owner[order], spans[order, 0].astype(np.int64), spans[order, 1].astype(np.int64)
+    shift = owner * (int(end.max()) + 2)  # each owner has places of its own
+    reach = np.maximum.accumulate(end + shift)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (begin + shift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return np.stack([begin[first], np.maximum.reduceat(end, first)], axis=1).astype(np.int32), owner[first]
 
 
 ROWS = "route long, salt int, doc_id long, h long, start int, items binary"
@@ -208,11 +227,15 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 
 def _span_rows(out: list[list], texts: np.ndarray, begin: np.ndarray, words: np.ndarray, ids: np.ndarray, h: np.ndarray) -> None:
     """Appends a row without a route for each text: the spans of its factors."""
-    for t in np.unique(texts).tolist():
-        mine = texts == t
-        spans = np.stack([begin[mine], begin[mine] + words[mine]], axis=1).astype(np.int32)
-        for column, x in zip(out, (None, 0, int(ids[t]), int(h[t]), 0, _joined(spans).tobytes()), strict=True):
-            column.append(x)
+    spans, owner = _joined(np.stack([begin, begin + words], axis=1), texts)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    body, cuts, mine = spans.tobytes(), [*first.tolist(), len(owner)], owner[first]
+    out[0] += [None] * len(first)
+    out[1] += [0] * len(first)
+    out[2] += ids[mine].tolist()
+    out[3] += h[mine].tolist()
+    out[4] += [0] * len(first)
+    out[5] += [body[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _parse_blocks(batches, window: int, gram: int, again: np.ndarray, hot: np.ndarray):
@@ -319,7 +342,7 @@ def _cut(batches):
         lists = block.column("spans").to_pylist() if "spans" in block.schema.names else [None] * block.num_rows
         for a, b, spans in zip(words.first[:-1].tolist(), words.first[1:].tolist(), lists, strict=True):
             keep = np.ones(b - a, dtype=bool)
-            every = _joined(np.frombuffer(b"".join(spans), dtype=np.int32).reshape(-1, 2)) if spans else np.zeros((0, 2), np.int32)
+            every = _joined(np.frombuffer(b"".join(spans or ()), dtype=np.int32).reshape(-1, 2))[0]
             for s, e in every.tolist():
                 keep[s:e] = False
             kept = np.flatnonzero(keep) + a

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,14 @@ def test_near_duplicates_edges(spark, empty, docs):
     assert minhash.match_threshold(10, 1.0) == 10 and minhash.match_threshold(96, 0.85) > 48
 
 
+def test_near_duplicates_of_ids_on_several_texts(spark):
+    """Classes are told by their texts: an id on two texts loses no link of either and ties them."""
+    words = [f"a{i}" for i in range(60)]
+    first, second = " ".join(words), " ".join(f"b{i}" for i in range(60))
+    rows = make(spark, [(5, first, None, None), (5, second, None, None), (7, second + " more", None, None), (9, first + " more", None, None), (3, first, None, None), (8, "x y z", None, None)])
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows, 3, 85).collect()) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True), (9, 3, False)]
+
+
 def test_collisions_match_a_plain_count():
     rng = np.random.default_rng(0)
     sigs = rng.integers(0, 4, (60, 12)).astype(np.int32)
@@ -209,6 +218,24 @@ def test_substring_hot_anchors(spark, hot, size):
     assert got == substring_brute(rows, 20)
 
 
+def test_substring_of_long_repetitive_texts(spark):
+    """Two copies of a text of one word half a million times and then another, in either order of hashes: linear, not quadratic."""
+    for one, two in (("k", "l"), ("l", "k")):
+        text = " ".join([one] * 250_000 + [two] * 250_000)
+        start = time.time()
+        got = byid(substring.substring_dedup(make(spark, [(1, text, None, None), (2, text, None, None)]).coalesce(1)), "n_words", "n_removed")
+        # the first copy keeps the first window of each run and those on the border; only repeats go
+        assert got[2] == (500_000, 500_000) and got[1][0] == 500_000 and 499_900 < got[1][1] < 500_000
+        assert time.time() - start < 60
+
+
+def test_nearest_smaller():
+    rng = np.random.default_rng(3)
+    for values in (np.concatenate([np.arange(300), np.arange(300)[::-1]]), rng.integers(0, 5, 400), rng.permutation(500)):
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert substring._nearest_smaller(values).tolist() == want
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_factors_are_longest_earlier_matches(ties):
     rng = np.random.default_rng(2)
