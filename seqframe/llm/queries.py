@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import oracle
+from . import lloyd, oracle
 from .cotrain import score_quality
 from .decontaminate import digest_items, mark_contamination
 from .exact_dedup import exact_dedup
@@ -18,9 +18,11 @@ from .lm_scoring import cross_entropy_difference
 from .minhash import near_duplicates
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import mix_sources
+from .piece_coding import code_pieces, digest_pieces
 from .substring import substring_dedup
 from .token_counts import token_counts
 from .warc_zip import archive_round_trip
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,19 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation as long, as promised; the operator's own is a decimal, which holds it for any number of vectors."""
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.digest_clusters(lloyd.lloyd(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_pieces(code_pieces(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language": op9_language,
     "op10_warc_zip": op10_warc_zip,
+    "op11_whitening": op11_whitening,
+    "op12_lloyd": op12_lloyd,
+    "op13_sentencepiece": op13_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -94,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_minhash": oracle.NEAR,
     "op8_substring_dedup": oracle.SUBSTRING,
     "op10_warc_zip": oracle.ARCHIVE,
+    "op12_lloyd": lloyd.oracle_sql(),
 }
