@@ -115,12 +115,14 @@ def lloyd(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, scal
 
 
 def digest_clusters(found: DataFrame) -> DataFrame:
-    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of lloyd's rows; inertia sums beyond 64 bits are null."""
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of lloyd's rows; inertia sums beyond 64 bits, or of a null distance, are null."""
     rows = Stored(found, "assigned").df
-    sums = rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"), F.first("centroid").alias("centroid"))  # k rows
+    whole = F.count("distance") == F.count("*")
+    sums = rows.groupBy("cluster").agg(F.when(whole, F.sum(F.col("distance").cast("decimal(38,0)"))).alias("s"), F.first("centroid").alias("centroid"))  # k rows
     mark = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
     fits = lambda c: F.expr(f"try_cast({c} AS long)")
-    sums = sums.withColumn("every", F.sum("s").over(Window.partitionBy(F.lit(0)))).select("cluster", fits("s").alias("cluster_inertia"), fits("every").alias("inertia"), mark.alias("centroid_sha256"))
+    one = Window.partitionBy(F.lit(0))
+    sums = sums.withColumn("every", F.when(F.count("s").over(one) == F.count("*").over(one), F.sum("s").over(one))).select("cluster", fits("s").alias("cluster_inertia"), fits("every").alias("inertia"), mark.alias("centroid_sha256"))
     return rows.drop("centroid").join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
