@@ -2,6 +2,8 @@
 
 The dynamic programme runs over the cells of the largest pair's matrix, and each step works on one cell of all pairs at
 once as a vector, so a batch costs about as many Python steps as one pair.  Pairs are put into batches of similar size.
+Banded alignments keep the diagonals of the band alone and step from one anti-diagonal to the next, all its cells of all pairs at once:
+memory and time are of length times band.
 Trace-backs follow the order of preference that each kind of alignment states for equal scores.
 """
 
@@ -276,29 +278,142 @@ def align(pairs: list[tuple[str, str]], scoring: Scoring, mode: str = "global",
     begin the alignment, which ends at the best cell), right (both end it, and it begins at the best cell), added_right
     (both begin it, and it ends with the end of one of them, in the added letters of the other; the end of seq2 wins ties),
     added_left (the mirror image).
-    band: at most so many indels beyond the difference in length.  order: moves by preference among equal scores.
+    band: at most so many indels beyond the difference in length; memory is of length times band, unless gaps before the first
+    letters are free (ends), which takes the whole matrix.  order: moves by preference among equal scores.
     """
     if mode in ("right", "added_left"):
         back = align([(x[::-1], y[::-1]) for x, y in pairs], scoring, {"right": "left", "added_left": "added_right"}[mode], band, order, ends)
         return [_mirrored(x, y, r) for (x, y), r in zip(pairs, back, strict=True)]
     out: list[Alignment | None] = [None] * len(pairs)
     by_size = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    in_band = band is not None and ends.bound1 and ends.bound2
+    run = _banded_batch if in_band else _batch
     at = 0
     while at < len(by_size):
-        to, cells = at, 0
+        to, tall, wide = at, 0, 0
         while to < len(by_size):
-            x, y = pairs[by_size[to]]
-            cells = max(cells, (len(x) + 1) * (max(len(pairs[i][1]) for i in (by_size[at], by_size[to])) + 1))
-            if to > at and (to + 1 - at) * cells > 4_000_000:
+            n, m = map(len, pairs[by_size[to]])
+            tall, wide = (max(tall, n + m + 1), max(wide, _diagonals(n, m, band))) if in_band else (max(tall, n + 1), max(wide, m + 1))
+            if to > at and (to + 1 - at) * tall * wide > 4_000_000:
                 break
             to += 1
         chosen = by_size[at:to]
-        for i, r in zip(chosen, _batch([pairs[i] for i in chosen], scoring, mode, band, order, ends), strict=True):
+        for i, r in zip(chosen, run([pairs[i] for i in chosen], scoring, mode, band, order, ends), strict=True):
             out[i] = r
         at = to
     return out
 
 
+def _move_order(affine: bool, band: int | None) -> tuple[int, ...]:
+    return ((DELETE, INSERT, DIAGONAL) if band is not None else (INSERT, DELETE, DIAGONAL)) if affine else (DIAGONAL, DELETE, INSERT)
+
+
+def _added_ends(n1: np.ndarray, n2: np.ndarray, ends: Ends, at) -> tuple[np.ndarray, np.ndarray]:
+    """The best end of each pair in mode added_right; at(i, j): the values of one cell of each pair, of cells that exist."""
+    end1, end2, top = n1.copy(), n2.copy(), np.full(len(n1), LOW - 1)
+    for i, j in [(n1 - k, n2) for k in range(ends.added1, -1, -1)] + [(n1, n2 - k) for k in range(ends.added2, -1, -1)]:
+        here = np.where((i >= 0) & (j >= 0), at(np.maximum(i, 0), np.maximum(j, 0)), LOW - 1)
+        better = here > top
+        top, end1, end2 = np.where(better, here, top), np.where(better, i, end1), np.where(better, j, end2)
+    return end1, end2
+
+
+def _diagonals(n: int, m: int, band: int) -> int:
+    """Cells of an anti-diagonal inside the band, at most, and the spare ones beside them."""
+    return (abs(m - n) + 2 * band + 1) // 2 + 4
+
+
+class _Band:
+    """Cells of a band by (i, j).
+
+    Cells are kept by anti-diagonal s = i + j; on one, every second diagonal d = j - i has a cell.  The lowest diagonal of a pair is
+    taken down to an even number, low, so that in all pairs alike the t-th cell of an even s lies on low + 2 t and that of
+    an odd s on low + 2 t + 1.  A spare column on each side holds LOW.
+    """
+
+    def __init__(self, cells: np.ndarray, low: int):
+        self.cells, self.low = cells, low
+
+    def __getitem__(self, cell: tuple[int, int]):
+        i, j = cell
+        t = (j - i - self.low) >> 1
+        return self.cells[i + j, t + 1] if 0 <= t < self.cells.shape[1] - 2 else LOW
+
+
+def _banded_batch(pairs, scoring: Scoring, mode: str, band: int, order, ends: Ends) -> list[Alignment | None]:
+    """_batch in the diagonals of a band; gaps before the first letters cost, except in mode local."""
+    affine, local = isinstance(scoring, AffineScoring), mode == "local"
+    order = order or _move_order(affine, band)
+    a, b, n1, n2 = _codes(pairs, scoring.alphabet)
+    a, b = (x if x.shape[1] else np.zeros((len(pairs), 1), np.int64) for x in (a, b))
+    count, lane = len(pairs), np.arange(len(pairs))
+    lowest, highest = np.minimum(0, n2 - n1) - band, np.maximum(0, n2 - n1) + band
+    half = lowest // 2
+    width, steps = int(((highest - 2 * half) // 2).max()) + 1, int((n1 + n2).max()) + 1
+    t = np.arange(width)[:, None]
+    best = np.full((steps, width + 2, count), LOW, dtype=np.int32)
+    dele, ins = (np.full_like(best, LOW) for _ in range(2)) if affine else (None, None)
+    scores, open_, extend = scoring.matrix.astype(np.int32), scoring.open, scoring.extend
+
+    def places(s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and columns of an anti-diagonal's cells, and which of these are inside the matrix and the band."""
+        i = s // 2 - half - t
+        j = s - i
+        return i, j, (i >= 0) & (i <= n1) & (j >= 0) & (j <= n2) & (j - i >= lowest) & (j - i <= highest)
+
+    best[0, 1:-1] = np.where(places(0)[0] == 0, 0, LOW)
+    for s in range(1, steps):
+        i, j, inside = places(s)
+        above, beside = (slice(2, None), slice(1, -1)) if s % 2 else (slice(1, -1), slice(0, -2))  # (i - 1, j) and (i, j - 1) on s - 1
+        if affine:
+            d = np.maximum(best[s - 1, above] + open_, dele[s - 1, above] + extend)
+            n = np.maximum(best[s - 1, beside] + open_, ins[s - 1, beside] + extend)
+        else:
+            d, n = best[s - 1, above] + open_, best[s - 1, beside] + open_
+        top = np.maximum(d, n)
+        if s > 1:
+            letters = scores[a[lane, np.clip(i - 1, 0, a.shape[1] - 1)], b[lane, np.clip(j - 1, 0, b.shape[1] - 1)]]
+            inner = (i > 0) & (j > 0)
+            top = np.where(inner, np.maximum(top, best[s - 2, 1:-1] + letters), top)
+        if local:
+            top = np.maximum(top, 0)
+        best[s, 1:-1] = np.where(inside, top, LOW)
+        if affine:
+            dele[s, 1:-1], ins[s, 1:-1] = np.where(inside, d, LOW), np.where(inside, n, LOW)
+
+    def at(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        k = (j - i - 2 * half) >> 1
+        return np.where((k >= 0) & (k < width), best[i + j, np.clip(k, -1, width) + 1, lane], LOW)
+
+    end1, end2 = n1.copy(), n2.copy()
+    if mode == "added_right":
+        end1, end2 = _added_ends(n1, n2, ends, at)
+    elif mode != "global":
+        last_row = _rows_tried(best, places, n1, scoring, ends) if ends.stop_penalty is not None else n1
+        top, end1, end2 = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+        for s in range(1, steps):
+            i, _, inside = places(s)
+            here = np.where(inside & (i <= last_row), best[s, 1:-1], LOW)[::-1]  # by rows
+            k = here.argmax(axis=0)
+            value, row = here[k, lane], i[::-1][k, lane]
+            better = (value > top) | (value == top) & (top > 0) & (row < end1)  # of equals the first by rows
+            top, end1, end2 = np.where(better, value, top), np.where(better, row, end1), np.where(better, s - row, end2)
+    views = lambda m, r: None if m is None else _Band(m[:, :, r], int(2 * half[r]))
+    return [_trace(pairs[r], a[r], b[r], int(end1[r]), int(end2[r]), views(best, r), views(dele, r), views(ins, r), scoring, order, local, local, local) for r in range(count)]
+
+
+def _rows_tried(best, places, n1: np.ndarray, scoring: Scoring, ends: Ends) -> np.ndarray:
+    """The last row that each pair's search comes to: the first whose best cell is too low (Ends.stop_penalty), or the last of all."""
+    rows = np.full((int(n1.max()) + 1, len(n1)), LOW, dtype=np.int64)
+    for s in range(2, len(best)):
+        i, j, inside = places(s)
+        cell, lane = np.nonzero(inside & (i > 0) & (j > 0))
+        row = i[cell, lane]
+        rows[row, lane] = np.maximum(rows[row, lane], best[s, cell + 1, lane])
+    low = rows[1:] - np.arange(len(rows) - 1)[:, None] * int(scoring.matrix[0, 0]) < ends.stop_penalty
+    return np.where(low.any(axis=0), low.argmax(axis=0) + 1 if len(low) else 0, n1)
+
+
 def _mirrored(x: str, y: str, r: Alignment | None) -> Alignment | None:
     if r is None:
         return None
@@ -309,8 +424,7 @@ def _mirrored(x: str, y: str, r: Alignment | None) -> Alignment | None:
 
 def _batch(pairs, scoring: Scoring, mode: str, band: int | None, order, ends: Ends) -> list[Alignment | None]:
     affine = isinstance(scoring, AffineScoring)
-    if order is None:
-        order = ((DELETE, INSERT, DIAGONAL) if band is not None else (INSERT, DELETE, DIAGONAL)) if affine else (DIAGONAL, DELETE, INSERT)
+    order = order or _move_order(affine, band)
     a, b, n1, n2 = _codes(pairs, scoring.alphabet)
     count, rows, cols = len(pairs), a.shape[1] + 1, b.shape[1] + 1
     open_, extend = scoring.open, scoring.extend
@@ -359,13 +473,7 @@ def _batch(pairs, scoring: Scoring, mode: str, band: int | None, order, ends: En
                 dele[i, j], ins[i, j] = d, n
     end1, end2 = n1.copy(), n2.copy()
     if mode == "added_right":
-        last = [((n1 - k, n2), k) for k in range(ends.added1, -1, -1)] + [((n1, n2 - k), k) for k in range(ends.added2, -1, -1)]
-        top = np.full(count, LOW - 1)
-        for (i, j), _ in last:
-            ok = (i >= 0) & (j >= 0)
-            here = np.where(ok, best[np.maximum(i, 0), np.maximum(j, 0), lane], LOW - 1)
-            better = here > top
-            top, end1, end2 = np.where(better, here, top), np.where(better, i, end1), np.where(better, j, end2)
+        end1, end2 = _added_ends(n1, n2, ends, lambda i, j: best[i, j, lane])
     elif mode != "global":
         floor = 0
         inside = (np.arange(rows)[:, None, None] <= n1) & (np.arange(cols)[None, :, None] <= n2)

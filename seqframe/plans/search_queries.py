@@ -118,6 +118,23 @@ def align_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, al.LinearScoring.nucleotide(), "global", 3)
 
 
+@query(RECURSIVE + dp.AFFINE_SQL.format(**dp.affine(-10, -1, band=3)))
+def align_banded_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir, al.AffineScoring.nucleotide(), "global", 3)
+
+
+@query(RECURSIVE + dp.SQL.format(**dp.linear(-5, band=3, free_end=True)))
+def align_banded_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of both are aligned inside a band, the ends are free."""
+    return _aligned(spark, sf_dir, al.LinearScoring.nucleotide(), "left", 3)
+
+
+@query(RECURSIVE + dp.AFFINE_SQL.format(**dp.affine(-10, -1, band=3, free_end=True, mirrored=True)))
+def align_banded_affine_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of both are aligned inside a band, the beginnings are free."""
+    return _aligned(spark, sf_dir, al.AffineScoring.nucleotide(), "right", 3)
+
+
 @query(RECURSIVE + dp.SQL.format(**dp.linear(-5, free_end=True)))
 def align_semi_local_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The beginnings of both are aligned, the ends are free."""

@@ -185,6 +185,26 @@ def test_band_reaches_global_score_when_wide(scoring):
         assert mu.mutate(a, n.mutations) == b and n.score == n.rescored(scoring)
 
 
+@pytest.mark.parametrize("scoring", [al.LinearScoring.nucleotide(), al.AffineScoring.nucleotide(), al.AffineScoring.nucleotide(open_=-3)])
+@pytest.mark.parametrize("band", [0, 1, 4, 30])
+@pytest.mark.parametrize("mode, ends", [("global", al.ALL), ("local", al.ALL), ("left", al.ALL), ("left", al.Ends(stop_penalty=-12)), ("added_right", al.ALL), ("added_right", al.Ends(added1=3, added2=2))])
+def test_diagonals_hold_what_the_whole_matrix_does(scoring, band, mode, ends):
+    pairs = [*_pairs(40, 5), ("", ""), ("", "ACG"), ("ACG", ""), ("A", "A"), ("AAAAAAA", "A"), ("ACACACAC", "CACACACA")]
+    assert al._banded_batch(pairs, scoring, mode, band, None, ends) == al._batch(pairs, scoring, mode, band, None, ends)
+
+
+def test_band_over_30000_letters():
+    """A pair whose whole matrix would have 900 million cells."""
+    rng = random.Random(4)
+    a = "".join(rng.choice("ACGT") for _ in range(30_000))
+    b = a[:9_000] + "GATTA" + a[9_000:20_000] + a[20_004:]
+    gaps = {"I": 5, "D": 4}
+    for scoring, cost in ((al.LinearScoring.nucleotide(), -5 * 9), (al.AffineScoring.nucleotide(), -10 - 4 - 10 - 3)):
+        (r,) = al.align([(a, b)], scoring, band=12)
+        kinds = [m.kind for m in r.mutations]
+        assert r.score == 5 * (30_000 - 4) + cost and {k: kinds.count(k) for k in set(kinds)} == gaps and mu.mutate(a, r.mutations) == b
+
+
 def test_global_golden():
     lin, aff = al.LinearScoring.nucleotide(), al.AffineScoring.nucleotide()
     assert al.align([("ATTAGACA", "ATTAAGA")], lin)[0].score == 21
