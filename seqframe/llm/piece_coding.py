@@ -34,7 +34,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES, SPACE = 2, "▁"
 #: Characters of parts that are kept; parts kept, in each of two generations; neighbours' answers kept; characters cut up at a time.
-CACHED, PARTS, PAIRS, SLICE = 64, 1 << 18, 1 << 20, 1 << 18
+CACHED, PARTS, PAIRS, SLICE = 64, 1 << 19, 1 << 20, 1 << 18
 
 
 def _fields(body: bytes) -> Iterator[tuple[int, int | bytes]]:
