@@ -14,11 +14,12 @@ from ..functions import trimming as tr
 from ..functions.sequence import reverse_complement
 from ..operators import aggregates as agg
 from ..operators import batch_alignment as ba
+from ..operators import chained_alignment as ca
 from ..operators import clustering as cl
 from ..operators import fuzzy as fz
 from . import scores_sql as dp
 from . import trimming_sql
-from .base import query, reads, reads_sql, seq_of, table
+from .base import HEX, LETTERS, query, reads, reads_sql, seq_of, table
 
 WITH = f"WITH {reads_sql()} "
 RECURSIVE = f"WITH RECURSIVE {reads_sql()}"
@@ -81,10 +82,8 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("doc_id", "seq", F.when(F.col("doc_id") % 2 == 0, changed).otherwise(F.reverse("seq")).alias("other"))
 
 
-def _aligned(spark: SparkSession, sf_dir: str, scoring: al.Scoring, mode: str, band: int | None = None) -> DataFrame:
-    """Of each alignment the score, and whether its mutations turn its stretch of one sequence into that of the other and add up to the score."""
-    hit = al.align_columns(F.col("seq"), F.col("other"), scoring, mode, band)
-    out = _planted(spark, sf_dir).withColumn("h", hit).select("doc_id", "seq", "other", "h.*")
+def _checks(scoring: al.Scoring) -> tuple[Column, Column]:
+    """Whether the mutations turn the stretch of seq into that of other, and add up to the score."""
     one = F.substring("seq", F.col("from1") + 1, F.col("to1") - F.col("from1"))
     two = F.substring("other", F.col("from2") + 1, F.col("to2") - F.col("from2"))
     moved = mu.move_column(F.col("mutations"), -F.col("from1"))
@@ -95,7 +94,14 @@ def _aligned(spark: SparkSession, sf_dir: str, scoring: al.Scoring, mode: str, b
     else:  # opened: indels that don't go on from the one before
         cost = (gone + come) * scoring.extend + mu.count_gaps(F.col("mutations")) * (scoring.open - scoring.extend)
     total = kept * int(scoring.matrix[0, 0]) + subs * int(scoring.matrix[0, 1]) + cost
-    return out.select("doc_id", F.col("score").cast("long").alias("score"), (mu.mutate_column(one, moved) == two).alias("rebuilt"), (total == F.col("score")).alias("adds_up"))
+    return (mu.mutate_column(one, moved) == two).alias("rebuilt"), (total == F.col("score")).alias("adds_up")
+
+
+def _aligned(spark: SparkSession, sf_dir: str, scoring: al.Scoring, mode: str, band: int | None = None) -> DataFrame:
+    """Of each alignment the score, and whether its mutations turn its stretch of one sequence into that of the other and add up to the score."""
+    hit = al.align_columns(F.col("seq"), F.col("other"), scoring, mode, band)
+    out = _planted(spark, sf_dir).withColumn("h", hit).select("doc_id", "seq", "other", "h.*")
+    return out.select("doc_id", F.col("score").cast("long").alias("score"), *_checks(scoring))
 
 
 @query(RECURSIVE + dp.SQL.format(**dp.linear(-5)))
@@ -182,6 +188,42 @@ def seed_clustered_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _between_classes(*_queries_and_refs(spark, sf_dir), lambda q, r: ba.clustered_align(q, r).drop("start"))
 
 
+#: Queries of 59 letters, a changed one and a lost one among them, and the references that they come from; classes of equal sequences.
+CHAINED = f"""WITH RECURSIVE digests AS (SELECT doc_id, translate(md5(text) || md5(text || '#1') || md5(text || '#2'), '{HEX}', '{LETTERS}') AS seq FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, seq, substr(seq, CAST(doc_id // 10 % 36 AS INTEGER) + 1, 60) AS s FROM digests),
+asked AS (SELECT doc_id, seq AS r, substr(s, 1, 19) || translate(substr(s, 20, 1), 'ACGT', 'CGTA') || substr(s, 21, 20) || substr(s, 42) AS q FROM cut),
+qs AS (SELECT q, any_value(r) AS r, min(doc_id) AS query_id, count(*) AS query_rows FROM asked GROUP BY q), rs AS (SELECT r, min(doc_id) AS ref_id, count(*) AS ref_rows FROM asked GROUP BY r),
+pairs AS (SELECT query_id AS doc_id, r AS a, q AS b FROM qs)"""
+CHAINED_HITS = " SELECT query_id, query_rows, ref_id, ref_rows, score, rebuilt, adds_up FROM found JOIN qs ON query_id = doc_id JOIN rs USING (r)"
+
+
+def _chained(spark: SparkSession, sf_dir: str, scoring: al.Scoring) -> DataFrame:
+    """Hits of changed parts of every text's letters in those of all texts, between classes of equal sequences.
+
+    The score is the best of the full local matrix of a query and the text it comes from; no other text comes near.
+    """
+    digest = F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("#1"))), F.md5(F.concat("text", F.lit("#2"))))
+    long = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", seq_of(digest).alias("r"))
+    s = F.substring("r", (F.col("doc_id") / 10 % 36).cast("int") + 1, F.lit(60))
+    part = lambda i, n: F.substring(s, i, n)
+    asked = long.select("doc_id", "r", F.concat(part(1, 19), F.translate(part(20, 1), "ACGT", "CGTA"), part(21, 20), part(42, 60)).alias("q"))
+    group = lambda seq, name: asked.groupBy(F.col(seq).alias("seq")).agg(F.min("doc_id").alias(f"{name}_id"), F.count("*").alias(f"{name}_rows"))
+    q, r = group("q", "query"), group("r", "ref")
+    hits = ca.chain_align(q.drop("query_rows"), r.drop("ref_rows"), ca.ChainParameters(scoring=scoring, cut=ba.HitCut(150, 0.87, 5)))
+    both = hits.join(q.withColumnRenamed("seq", "other"), "query_id").join(r, "ref_id")
+    return both.select("query_id", "query_rows", "ref_id", "ref_rows", F.col("score").cast("long").alias("score"), *_checks(scoring))
+
+
+@query(CHAINED + dp.affine_scores(-5, -5, "found") + CHAINED_HITS)
+def chain_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chained(spark, sf_dir, al.LinearScoring.nucleotide())
+
+
+@query(CHAINED + dp.affine_scores(-10, -1, "found") + CHAINED_HITS)
+def chain_align_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chained(spark, sf_dir, al.AffineScoring.nucleotide())
+
+
 @query()
 def batch_align_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query ids divisible by 100 against all references."""
