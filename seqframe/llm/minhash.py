@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     ranked = shared.withColumns({"have": F.count("*").over(mine), "at": F.row_number().over(mine.orderBy("len", "coord"))})
     prefix = Stored(ranked.filter(F.col("at") <= F.col("have") - threshold + 1).select(*cls, "coord", "value"), "prefix")
     heads = prefix.df.groupBy("coord", "value").agg(F.min("rep").alias("head"), F.count("*").alias("len")).filter("len > 1")
-    stars = prefix.df.join(heads, ["coord", "value"]).select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
+    stars = prefix.df.join(heads, ["coord", "value"]).select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b")
     cluster = Stored(components(stars).join(classes.df.select(F.col("rep").alias("node"), "whole", "n", "sig"), "node"), "clusters")
     prefix.drop()
     lists.drop()
@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     # a doc_id on several texts ties their classes
     texts = named.groupBy("doc_id").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("doc_id")
     ties = named.join(texts, "doc_id").select("doc_id", "whole", "n").join(classes.df.select("whole", "n", "rep"), ["whole", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = Stored(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda it: _confirm(it, percent, threshold), "a long, b long"), "links")
+    links = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda it: _confirm(it, percent, threshold), "a long, b long")
+    found = components(links.unionByName(ties.filter("a <> b")))
     cluster.drop()
-    found = components(links.df.unionByName(ties.filter("a <> b")))
     kin = classes.df.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("whole", "n", "sig", F.coalesce("root", "rep").alias("root"))
     linked = sketch.df.join(kin.select("whole", "n", "root"), ["whole", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))

@@ -15,6 +15,7 @@ from seqframe.operators import batch_alignment as ba
 from seqframe.operators import clustering as cl
 from seqframe.operators import dataflow as flow
 from seqframe.operators import fuzzy as fz
+from seqframe.operators import graph
 from seqframe.operators import intervals as iv
 from seqframe.operators.graph import components
 from seqframe.operators.skew import join_unique
@@ -161,6 +162,54 @@ def test_components_against_union_find(spark):
     assert got == {x: root(x) for x in linked}
 
 
+def _linked_lists(lists=400, nodes=3000, hub=600):
+    """Stars as op7_minhash ties its posting lists: many repeated edges, one large group, some chains."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(hub), rng.randrange(hub)) for _ in range(4 * hub)]
+    for _ in range(lists):
+        group = [rng.randrange(hub, nodes) for _ in range(3)]
+        edges += [(x, min(group)) for x in group] * 5
+    return edges + [(i, i + 1) for i in range(nodes, nodes + 60)]
+
+
+def test_components_write_few_tables(spark, monkeypatch):
+    written = []
+
+    class Counted(graph.Stored):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            written.append((name, self.df.count()))
+
+    monkeypatch.setattr(graph, "Stored", Counted)
+    edges = _linked_lists()
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        front = [] if x in want else [x]
+        while front:
+            y = front.pop()
+            if y not in want:
+                want[y] = x
+                front += near[y]
+    assert got == {x: want[x] for x in near if near[x] != {x}}
+    assert len(written) <= 16, written
+    edge_tables = [n for name, n in written if name in ("joined", "large", "small")]
+    assert edge_tables == sorted(edge_tables, reverse=True)
+
+
+def test_star_forest():
+    u, v = graph.star_forest(np.array([9, 7, 5, 30, 20, 9, 9]), np.array([7, 5, 2, 20, 11, 7, 2]))
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {5: 2, 7: 2, 9: 2, 20: 11, 30: 11}
+    assert len(graph.star_forest(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
+    path = np.random.default_rng(3).permutation(5000)
+    u, v = graph.star_forest(np.maximum(path[1:], path[:-1]), np.minimum(path[1:], path[:-1]))
+    assert sorted(u.tolist()) == list(range(1, 5000)) and not v.any()
+
+
 def test_range_join_against_theta_join(spark):
     rng = np.random.default_rng(0)
     rows = [(i, int(a), int(a + w)) for i, (a, w) in enumerate(zip(rng.integers(0, 300, 200), rng.integers(0, 40, 200), strict=True))]
