@@ -115,6 +115,14 @@ def test_merge_opposite_strand():
     assert mg.merge(mg.codes_of("ACG"), np.full(3, 30), mg.codes_of("ACG"), np.full(3, 30), mg.MergeParameters()) is None
 
 
+def test_merge_takes_the_best_overlap():
+    """13 letters with one error agree by chance, and are met before the overlap of 16."""
+    a, b = "CCAGGGTGAAGGATGAAAGATATTTCATAGTC", "TCTTGAGTCAGCGTCTCCCCCTGGGTGAAGGA"
+    mate = (a[24:] + b)[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    m = mg.merge(mg.codes_of(a + b[:8]), np.full(40, 30), mg.codes_of(mate), np.full(40, 30), mg.MergeParameters(12, 0.9))
+    assert (m.seq, m.offset, m.overlap, m.errors, m.score) == (a + b, 24, 16, 0, 32)
+
+
 def _edited(rng, s, n):
     out = list(s)
     for _ in range(n):
