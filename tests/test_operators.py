@@ -1,6 +1,7 @@
 """Joins against brute force, clustering, batch alignment and the merge planner."""
 
 import random
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -335,6 +336,30 @@ def test_brute_force_in_blocks_finds_what_one_block_finds(spark, ties):
     assert whole and sorted(whole) == sorted(blocks)
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_substitution_hits_against_every_pair(spark, ties):
+    """Letters beyond four, several lengths (one of more than 64 letters), nulls and empty sequences."""
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("ACGTé-") for _ in range(rng.choice([0, 5, 9, 70])))) for i in range(80)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    cut = ba.HitCut(-40, 0.5, 3, ties)
+    got = sorted(tuple(x) for x in ba.substitution_hits(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "ref_id"), 2, -1, cut, 300).select("query_id", "ref_id", "score").collect())
+    want = []
+    for i, x in rows[:-1]:
+        hits = [(s, j) for j, y in rows[:-1] if len(x) == len(y) and (s := sum(2 if a == b else -1 for a, b in zip(x, y, strict=True))) >= -40]
+        want += [(i, j, s) for s, j in cut.best(hits)]
+    assert got == sorted(want)
+
+
+def test_substitution_hits_of_many_references(spark):
+    """Every pair of 400 queries and 200,000 references of 32 letters within a minute: a step for each letter of a pair took some minutes."""
+    refs = spark.range(200000).select(F.col("id").alias("ref_id"), F.translate(F.md5(F.col("id").cast("string")), "0123456789abcdef", "AGCTAGCTAGCTAGCT").alias("seq"))
+    queries = refs.filter("ref_id % 500 = 0").select(F.col("ref_id").alias("query_id"), "seq")
+    start = time.time()
+    hits = ba.substitution_hits(queries, refs, cut=ba.HitCut(-32, 0.1, 5)).collect()
+    assert len(hits) == 2000 and all(h.rank > 1 or h.score == 32 for h in hits) and time.time() - start < 60
+
+
 def test_cluster_query_takes_whole_reads(spark, tmp_path):
     """Every distinct read is an object of its own, though more reads than prefixes of 7 letters."""
     spark.range(20000).selectExpr("id AS doc_id", "concat('text ', id % 17000) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
