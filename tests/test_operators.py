@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqframe.functions import alignment as al
 from seqframe.functions import mutations as mu
 from seqframe.functions import quality, ranges
 from seqframe.functions import sequence as s
@@ -360,6 +361,27 @@ def test_substitution_hits_of_many_references(spark):
     assert len(hits) == 2000 and all(h.rank > 1 or h.score == 32 for h in hits) and time.time() - start < 60
 
 
+@pytest.mark.parametrize("scoring", [al.AffineScoring.nucleotide(), al.LinearScoring.nucleotide(), al.AffineScoring.nucleotide(open_=-1, extend=-3)])
+def test_local_scores_are_those_of_alignments(scoring):
+    rng = random.Random(5)
+    for letters in ("AC", "ACGT", "ACGTNacgt"):
+        refs = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+        queries = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(12)] + [refs[3][2:20]]
+        want = [[hit.score if hit else 0 for hit in al.align([(r, q) for r in refs], scoring, "local")] for q in queries]
+        assert al.local_scores(refs, queries, scoring).tolist() == want
+
+
+def test_brute_force_of_many_pairs(spark):
+    """20 queries against 20,000 references within a minute: with the moves of every pair it took some minutes."""
+    letters = lambda key: F.translate(F.concat(F.md5(F.concat(F.lit("a"), key)), F.md5(F.concat(F.lit("b"), key)), F.md5(F.concat(F.lit("c"), key))), "0123456789abcdef", "AGCTAGCTAGCTAGCT")
+    refs = spark.range(20000).select(F.col("id").alias("ref_id"), letters(F.col("id").cast("string")).alias("seq"))
+    queries = refs.filter("ref_id % 1000 = 0").select(F.col("ref_id").alias("query_id"), F.substring("seq", 11, 40).alias("seq"))
+    start = time.time()
+    hits = ba.brute_force(queries, refs, cut=ba.HitCut(60, 0.9, 3)).collect()
+    assert [(h.query_id, h.ref_id, h.score, h.mutations) for h in sorted(hits)] == [(i * 1000, i * 1000, 200, "") for i in range(20)]
+    assert time.time() - start < 60
+
+
 def test_cluster_query_takes_whole_reads(spark, tmp_path):
     """Every distinct read is an object of its own, though more reads than prefixes of 7 letters."""
     spark.range(20000).selectExpr("id AS doc_id", "concat('text ', id % 17000) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
