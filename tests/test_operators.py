@@ -316,6 +316,23 @@ def test_votes_of_blocks_against_a_join_of_all_seeds(spark, holes, drift):
     assert ba.map_seeds(queries, none, p).count() == ba.map_seeds(queries.limit(0), refs, p).count() == 0
 
 
+@pytest.mark.parametrize(("holes", "letters"), [(0, "ACGT"), (1, "ACGT"), (1, "AC")])
+def test_blocks_of_seeds_hold_letters_and_lose_no_pair(spark, holes, letters):
+    """Every pair that has as many votes as its query needs is counted; blocks are sent as letters, words (13 to 80 times as large) stay in tasks."""
+    rng = random.Random(holes)
+    rs = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(60)]
+    qs = [r[5:35] for r in rs[:20]] + ["".join(rng.choice(letters) for _ in range(30)) for _ in range(20)]
+    p = ba.SeedParameters(k=4, holes=holes, max_drift=3, min_votes=2)
+    for least in (2, 7, 12, 18, 26):
+        near = {(i, int(j)) for i, found in ba._near(qs, np.full(len(qs), least), rs, p) for j in found}
+        pairs = [(i, j) for i in range(len(qs)) for j in range(len(rs))]
+        number, votes, *_ = ba._pair_votes([qs[i] for i, _ in pairs], [rs[j] for _, j in pairs], p)
+        assert {pairs[n] for n, v in zip(number, votes, strict=True) if v >= least} <= near
+    df = spark.createDataFrame(list(enumerate(rs)), "ref_id long, seq string")
+    plan = ba.map_seeds(df.withColumnRenamed("ref_id", "query_id"), df, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "word" not in plan and "Generate explode" in plan
+
+
 def test_alignment_queries_read_every_document(spark, tmp_path):
     """A reference whose id 50 does not divide is the best hit of query 100, and queries of other ids are answered."""
     rows = [(i, f"text {i}") for i in range(1, 60)] + [(100, "text 7")]
